@@ -1 +1 @@
-
+"""Scalar functions: text, patterns, taxonomy, coercion and JSON."""

@@ -1 +1 @@
-
+"""Operators over trajectories, steps and events."""

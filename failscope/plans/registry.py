@@ -1,4 +1,8 @@
 """Names of the registered queries, their functions and their SQL statements."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from failscope.plans import trace_queries, trace_sql
+
+QUERIES: dict = dict(trace_queries.QUERIES)
+ORACLES: dict = dict(trace_sql.ORACLES)
