@@ -52,7 +52,8 @@ FURNITURE_TAGS = frozenset("nav footer aside form menu dialog header search".spl
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs header masthead footer comment comments respond reply replies disqus cookie cookies consent notice notices alert gdpr newsletter subscribe signup popup modal overlay related recommended share sharing social toolbar widget widgets pagination pager complementary contentinfo search login".split()
 )
-_WORD = re.compile("[a-z]+")
+#: A word of a class or id; of its number one digit counts, longer ones name single pages.
+_WORD = re.compile("[a-z]+(?:[0-9](?![0-9]))?")
 _CAMEL = re.compile("(?<=[a-z])(?=[A-Z])")
 
 
@@ -73,7 +74,7 @@ def furniture(label: str, inside: bool = False) -> bool:
         return False
     if tag == "header" and inside:
         return False
-    return tag in FURNITURE_TAGS or any(w in FURNITURE_WORDS for w in words)
+    return tag in FURNITURE_TAGS or any(w.rstrip("0123456789") in FURNITURE_WORDS for w in words)
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
