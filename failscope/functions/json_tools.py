@@ -73,17 +73,17 @@ def split_reasoning(text: str | None) -> tuple[str, str]:
     return body.strip(), ""
 
 
-def args_key(arguments: Column) -> Column:
-    """Canonical text of a JSON object; what can't be parsed stays as it is."""
+def args_keys(arguments: Column) -> Column:
+    """JSON array of JSON texts -> JSON array of their canonical texts; what can't be parsed stays."""
 
-    def one(text):
+    def one(item):
         try:
-            return canonical(json.loads(text))
+            return canonical(json.loads(item))
         except (TypeError, ValueError):
-            return text
+            return item
 
     def over(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
+        return texts.map(lambda text: json.dumps([one(item) for item in json.loads(text or "[]")]))
 
     return F.pandas_udf(over, "string")(arguments)
 

@@ -1 +1 @@
-
+"""Readers of trace exports and writers of results."""
