@@ -54,7 +54,9 @@ def dropped_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     # the postings of one hash and document lie in one range, so this aggregate needs no exchange
     held = ranged.groupBy("h", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     frequent = held.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_id")).where(F.col("n_docs") >= min_docs)
-    lost = postings.join(frequent.select(F.col("h").alias("of_h"), "last_id"), F.col("h") == F.col("of_h")).where(~F.col("doc_id").eqNullSafe(F.col("last_id")))
+    # written, so that Spark knows its size, and else can split the postings of a hot line in the join
+    frequent = materialise(frequent.select(F.col("h").alias("of_h"), "last_id"), "frequent-lines")
+    lost = postings.join(frequent, F.col("h") == F.col("of_h")).where(~F.col("doc_id").eqNullSafe(F.col("last_id")))
     words = lost.groupBy("doc_id", "row_key", F.floor(F.col("pos") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
     return words.groupBy("doc_id", "row_key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "bits")))).alias("words"))
 
