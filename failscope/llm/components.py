@@ -28,9 +28,10 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = now.unionAll(now.select(F.col("parent").alias("child"), F.col("child").alias("parent")))
         least = both.groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("least")).withColumn("least", F.least("node", "least"))
+        least = materialise(least, "least")  # a plain input of the join, so that Spark can split a hub's edges
         large = both.join(least, F.col("child") == F.col("node")).where(F.col("parent") > F.col("child")).select(F.col("parent").alias("child"), F.col("least").alias("parent"))
         large = materialise(large.where("child <> parent").distinct(), "edges")
-        least = large.groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("least"))
+        least = materialise(large.groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("least")), "least")
         small = large.join(least, F.col("child") == F.col("node")).select(F.col("parent").alias("child"), F.col("least").alias("parent"))
         small = small.unionAll(least.select(F.col("node").alias("child"), F.col("least").alias("parent")))
         now = materialise(small.where("child <> parent").distinct(), "edges")
