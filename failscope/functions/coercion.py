@@ -40,7 +40,7 @@ def coerce_confidence(json_value: Column) -> Column:
     """A claimed confidence (JSON text) within 0 and 1; 0 if it is no number."""
     body = F.regexp_replace(json_value, '^"|"$', "")
     value = F.when(body == "true", F.lit(1.0)).when(body == "false", F.lit(0.0)).otherwise(to_float(body))
-    return F.coalesce(F.when(~F.isnan(value), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))), F.lit(0.0))
+    return F.coalesce(F.when(value.isNotNull() & ~F.isnan(value), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))), F.lit(0.0))
 
 
 #: Dollars for a million tokens in and out, by the beginning of a model's name, in order.
