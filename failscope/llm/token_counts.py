@@ -2,15 +2,16 @@
 
 Texts are split at safe boundaries, so that neither a long text nor a large batch is ever encoded at
 once: at ASCII white space for tokenizers that drop white space and never join what stands on both
-sides of it. Equal pieces have equal lengths; the pieces of a task that were not seen before are
-encoded in batches of about ``BATCH_BYTES`` bytes each, and a bounded memory of lengths serves the
-others.
+sides of it. Equal pieces have equal lengths, so the first ``REMEMBERED`` different pieces of a task,
+which hold the frequent ones, are encoded once and their lengths kept; of each text what is left is
+joined by spaces and encoded again. All encoding is in batches of about ``BATCH_BYTES`` bytes.
 """
 
 from __future__ import annotations
 
 import json
 import os
+from itertools import repeat
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -47,7 +48,7 @@ def _load(path: str):
             model.no_padding()
             with open(path) as f:
                 safe = drops_white_space(json.load(f))
-            _LOADED[path] = (lambda pieces: [len(x) for x in model.encode_batch(pieces, add_special_tokens=False)], safe)
+            _LOADED[path] = (lambda pieces: [len(x) for x in model.encode_batch_fast(pieces, add_special_tokens=False)], safe)
     return _LOADED[path]
 
 
@@ -89,16 +90,19 @@ def count_batches(batches, path: str):
         if safe:
             for i in range(0, len(texts), 256):
                 split = [t.translate(_BREAKS).split(" ") for t in texts.slice(i, 256).to_pylist()]
-                fresh = list({w for words in split for w in words if w not in known})
-                for run in balanced(fresh):
-                    known.update(zip(run, encode(run), strict=True))
-                counts += [sum(map(known.__getitem__, words)) for words in split]
-                if len(known) > REMEMBERED:
-                    known.clear()
-                elif any(len(w) > LONG_PIECE for w in fresh):
-                    for w in fresh:
-                        if len(w) > LONG_PIECE:
-                            del known[w]
+                if len(known) < REMEMBERED:
+                    fresh = list({w for words in split for w in words if len(w) <= LONG_PIECE and w not in known})
+                    for run in balanced(fresh):
+                        known.update(zip(run, encode(run), strict=True))
+                pieces, owners = [], []
+                for owner, words in enumerate(split):
+                    for run in balanced([w for w in words if w not in known]):
+                        pieces.append(" ".join(run))
+                        owners.append(owner)
+                totals = [sum(map(known.get, words, repeat(0))) for words in split]
+                for owner, n in zip(owners, (n for run in balanced(pieces) for n in encode(run)), strict=True):
+                    totals[owner] += n
+                counts += totals
         else:
             # no boundary is known to be safe: whole texts, batches balanced by bytes
             for run in balanced(texts.to_pylist()):
