@@ -202,3 +202,14 @@ def without_contaminated(docs: DataFrame, items: DataFrame, threshold: float = T
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items: a row for each contaminated pair."""
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT row_number() OVER () AS r, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT DISTINCT r, doc_id, array_to_string(w[k : k + 4], ' ') AS s FROM (SELECT r, doc_id, w, unnest(generate_series(1, len(w) - 4)) AS k FROM d WHERE len(w) >= 5)),
+si AS (SELECT DISTINCT r, item_id, array_to_string(w[k : k + 4], ' ') AS s FROM (SELECT r, item_id, w, unnest(generate_series(1, len(w) - 4)) AS k FROM i WHERE len(w) >= 5)),
+sizes AS (SELECT r, count(*) AS q FROM si GROUP BY r),
+found AS (SELECT ds.r, any_value(ds.doc_id) AS doc_id, any_value(si.item_id) AS item_id, any_value(q) AS item_shingles, count(*) AS shared_shingles FROM ds JOIN si ON ds.s = si.s JOIN sizes ON sizes.r = si.r GROUP BY ds.r, si.r)
+SELECT doc_id, item_id, item_shingles, shared_shingles, shared_shingles / CAST(item_shingles AS DOUBLE) AS containment FROM found WHERE shared_shingles >= 0.8::DOUBLE * item_shingles - 1e-9
+"""

@@ -254,3 +254,20 @@ def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD, words: int
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents: doc_id, class_id, rep_id, n_copies, n_links."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT r, array_to_string(w[k : k + 4], ' ') AS s FROM (SELECT r, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS k FROM d WHERE len(w) > 0)),
+keyed AS (SELECT r, md5(string_agg(s, chr(1) ORDER BY s)) AS key, count(*) AS n FROM sh GROUP BY r),
+classes AS (SELECT key, min(doc_id) AS rep_id, count(*) AS n_copies, any_value(n) AS n, min(keyed.r) AS one FROM keyed JOIN d ON d.r = keyed.r GROUP BY key),
+members AS (SELECT key, n, s FROM classes JOIN sh ON sh.r = one),
+pairs AS (SELECT a.key AS ka, b.key AS kb, count(*) AS m, any_value(a.n) AS na, any_value(b.n) AS nb FROM members a JOIN members b ON a.s = b.s AND a.key < b.key GROUP BY a.key, b.key),
+linked AS (SELECT ka, kb FROM pairs WHERE m >= 0.8::DOUBLE * (na + nb - m) - 1e-9),
+both_ways AS (SELECT ka, kb FROM linked UNION ALL SELECT kb, ka FROM linked),
+reach AS (SELECT key, key AS other FROM classes UNION SELECT r.key, b.kb FROM reach r JOIN both_ways b ON r.other = b.ka),
+grouped AS (SELECT r.key, min(c.rep_id) AS class_id FROM reach r JOIN classes c ON c.key = r.other GROUP BY r.key),
+counted AS (SELECT ka AS key, count(*) AS n_links FROM both_ways GROUP BY ka)
+SELECT d.doc_id, CASE WHEN k.key IS NULL THEN d.doc_id ELSE g.class_id END AS class_id, CASE WHEN k.key IS NULL THEN d.doc_id ELSE c.rep_id END AS rep_id, coalesce(c.n_copies, 1) AS n_copies, coalesce(n_links, 0) AS n_links
+FROM d LEFT JOIN keyed k ON k.r = d.r LEFT JOIN classes c ON c.key = k.key LEFT JOIN grouped g ON g.key = k.key LEFT JOIN counted ON counted.key = k.key
+"""

@@ -18,7 +18,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_near_dedup": near_dedup.ORACLE,
     "op4_url_filter": url_filter.ORACLE,
+    "op5_decontamination": decontamination.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
