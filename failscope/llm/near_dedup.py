@@ -230,8 +230,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     linked = found.groupBy(F.col("child").alias("of_key")).agg(F.sum("links").alias("links"))
     roots = components(found.select("child", "parent")).select(F.col("child").alias("root_of"), F.col("parent").alias("root"))
     placed = classes.select("key", "rep_id", "n_copies").join(linked, F.col("key") == F.col("of_key"), "left").join(roots, F.col("key") == F.col("root_of"), "left")
-    placed = placed.select("key", "rep_id", "n_copies", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("root", "key").alias("root"))
-    least = placed.groupBy(F.col("root").alias("least_of")).agg(F.min("rep_id").alias("class_id"))
+    placed = materialise(placed.select("key", "rep_id", "n_copies", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("root", "key").alias("root")), "near-placed")
+    # both sides written: a plain join, in which Spark can split the members of a hot group
+    least = materialise(placed.groupBy(F.col("root").alias("least_of")).agg(F.min("rep_id").alias("class_id")), "near-least")
     placed = materialise(placed.join(least, F.col("root") == F.col("least_of")).select(F.col("key").alias("class_key"), "class_id", "rep_id", "n_copies", "n_links"), "near-classes")
     return sketches.join(placed, (F.col("key") == F.col("class_key")) & (F.col("n_shingles") > 0), "left").select(
         "doc_id",
