@@ -96,7 +96,7 @@ def shingle_batch(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.n
     # the sum of words in a row, each times the factor of its place; words beyond the text's end don't count
     m = len(hashed)
     rolled = np.zeros(m, dtype=np.uint64)
-    for k in range(words):
+    for k in range(min(words, m)):
         rolled[: m - k] += hashed[k:] * _PLACE[k]
     short = np.flatnonzero((n_words > 0) & (n_words < words))
     for t in short:
