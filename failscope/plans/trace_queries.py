@@ -39,14 +39,14 @@ def steps_contiguity_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def steps_render(spark: SparkSession, sf: str) -> DataFrame:
-    return _tid(model.render(steps_from_conversations(spark, sf), 1, 3), "text")
+    return _tid(model.render(steps_from_conversations(spark, sf)), "text")
 
 
 def step_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _tid(steps_from_conversations(spark, sf), "step_index", model.summary(60).alias("line"))
 
 
-def step_at_two(spark: SparkSession, sf: str) -> DataFrame:
+def step_at_first(spark: SparkSession, sf: str) -> DataFrame:
     return _tid(model.step_at(steps_from_conversations(spark, sf), 1), "step_index", "role")
 
 
@@ -393,7 +393,7 @@ def judge_signals_only(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        steps_number, steps_contiguity_check, steps_render, step_summary, step_at_two, calls_explode, role_filter, sig_budget_zscore, corpus_stats, events_all_sorted, battery_counts, schema_fingerprint,
+        steps_number, steps_contiguity_check, steps_render, step_summary, step_at_first, calls_explode, role_filter, sig_budget_zscore, corpus_stats, events_all_sorted, battery_counts, schema_fingerprint,
         det_kinds, det_confidence, det_verdict_threshold, det_explain_topk, det_explain_text, cal_fit_log_ratios, cal_bias, cal_top_weights, cal_score, cal_cross_val,
         loc_own_mass, loc_step_scores, loc_prior, loc_ranked_topk, loc_windows, loc_window_events, loc_window_text, tax_normalize, tax_case_number, price,
         score_ground_truth, score_localization, score_attribution, score_window_recall, score_table, score_detection, score_repeats, pool_weighted, compare_runs, run_rankings, join_semi_anti, judge_prompt, judge_fake_report, judge_signals_only,

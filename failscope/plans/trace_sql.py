@@ -120,9 +120,9 @@ _FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 ORACLES = {
     "steps_number": STEPS_SQL + "SELECT tid, i AS step_index, n AS n_steps, role FROM steps",
     "steps_contiguity_check": "SELECT conv_id AS tid, CAST(count(*) AS INTEGER) AS n_steps, min(turn) = 0 AND max(turn) + 1 = count(*) AND count(DISTINCT turn) = count(*) AS contiguous FROM conversations GROUP BY conv_id",
-    "steps_render": f"SELECT conv_id AS tid, string_agg({_LINE.format(w=160)}, chr(10) ORDER BY turn) AS text FROM (SELECT *, {_FLAT} AS b FROM conversations WHERE turn < 3) GROUP BY conv_id",
+    "steps_render": f"SELECT conv_id AS tid, string_agg({_LINE.format(w=160)}, chr(10) ORDER BY turn) AS text FROM (SELECT *, {_FLAT} AS b FROM conversations) GROUP BY conv_id",
     "step_summary": f"SELECT conv_id AS tid, CAST(turn + 1 AS INTEGER) AS step_index, {_LINE.format(w=60)} AS line FROM (SELECT *, {_FLAT} AS b FROM conversations)",
-    "step_at_two": "SELECT conv_id AS tid, 1 AS step_index, role FROM conversations WHERE turn = 0",
+    "step_at_first": "SELECT conv_id AS tid, 1 AS step_index, role FROM conversations WHERE turn = 0",
     "calls_explode": STEPS_SQL + "SELECT tid, i AS step_index, 0 AS call_pos, event_type AS name, '{\"k\": ' || k || '}' AS args_key FROM steps WHERE called",
     "role_filter": "SELECT conv_id AS tid, CAST(turn + 1 AS INTEGER) AS step_index, role FROM conversations WHERE role NOT IN ('system', 'user')",
     "sig_tool_error": STEPS_SQL + _event("tool_error", "0.6", _TOOL_ERROR),
