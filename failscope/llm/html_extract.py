@@ -72,8 +72,10 @@ def furniture(label: str, inside: bool = False) -> bool:
     tag, *words = label.split(".")
     if tag in ("article", "main", "body", "html"):
         return False
-    if tag == "header" and inside:
-        return False
+    if inside:  # the head of an article is part of it
+        words = [w for w in words if w != "header"]
+        if tag == "header":
+            tag = "div"
     return tag in FURNITURE_TAGS or any(w.rstrip("0123456789") in FURNITURE_WORDS for w in words)
 
 

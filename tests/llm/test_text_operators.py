@@ -62,7 +62,7 @@ def test_articles_of_all_pages(spark):
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class=home><header><h2>Site</h2></header><div id="sideBar">side<p>bar</p></div>
-<main><article><header><h1>Head &amp; more</h1></header><p>One<br>two<p>three <b>bold</b>,&nbsp;end<ul><li>x<li>y</ul><div class="cookie-notice">cookies</div><!-- c --><script>var a = "</p>";</script>
+<main><article><header class="article-header"><h1>Head &amp; more</h1></header><header class="share">tell all</header><p>One<br>two<p>three <b>bold</b>,&nbsp;end<ul><li>x<li>y</ul><div class="cookie-notice">cookies</div><!-- c --><script>var a = "</p>";</script>
 <blockquote>quo<!-- x -->ted</blockquote><form><input>send</form><section class="comments"><p>first!</p></section><aside>see also</aside></article></main><footer>&copy; me</footer>%s</body></html>"""
 
 
