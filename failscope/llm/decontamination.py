@@ -15,6 +15,7 @@ each candidate is then counted over the sets of all shingles of the document and
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -130,7 +131,7 @@ def item_blocks(items: DataFrame, words: int = WORDS, block_shingles: int = BLOC
     block, held = [], 0
     for row in items.select("item_id", "text").toLocalIterator():
         hashes, _ = shingle_batch(pa.array([row.text], pa.string()), words)
-        if len(hashes) and len((row.text or "").split()) >= words:
+        if len(re.findall(r"[^\x20\x09-\x0D]+", row.text or "")) >= words:
             block.append((row.item_id, np.unique(hashes)))
             held += len(block[-1][1])
         if held >= block_shingles:

@@ -118,7 +118,7 @@ def test_components_of_a_long_chain(spark):
 
 
 def leak_rows():
-    items = [(0, " ".join(words(20, 500))), (1, " ".join(words(59, 501))), (2, " ".join(words(6, 502))), (3, "too short to count"), (4, None), (5, ""), (6, " ".join(words(14, 503))), (7, " ".join(words(200, 504)))]
+    items = [(0, " ".join(words(20, 500))), (1, " ".join(words(59, 501))), (2, " ".join(words(6, 502))), (3, "too short to count"), (4, None), (5, ""), (8, "a\u00a0b\u00a0c\u00a0d\u00a0e"), (6, " ".join(words(14, 503))), (7, " ".join(words(200, 504)))]
     rng, docs = random.Random(9), []
     for i in range(60):
         body = words(rng.choice([0, 3, 50, 3000]), 1000 + i)
