@@ -1,6 +1,7 @@
 """Jaccard join and containment search against brute force."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -37,7 +38,7 @@ def corpus():
 def shingle_sets(rows):
     out = []
     for _, text in rows:
-        own = (text or "").lower().split()
+        own = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
         out.append(frozenset(zip(*[own[i:] for i in range(5)], strict=False)) if len(own) >= 5 else frozenset([tuple(own)] if own else []))
     return out
 
