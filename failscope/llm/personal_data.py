@@ -39,7 +39,9 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 _LOOSE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\}|@)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\.)\x20?[A-Za-z0-9-]{2,63}){1,4}", re.IGNORECASE)
 _LOOSE_IP = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,4}(?:\x20?[.,\[\]()]{1,3}\x20?[0-9]{1,4}){3}(?![0-9A-Za-z])")
 _LOOSE_CARD = re.compile(r"(?<![0-9A-Za-z])[0-9]{2,19}(?:[\x20._/-]{1,2}[0-9]{1,19}){0,40}(?![0-9A-Za-z])")
-_LOOSE_PHONE = re.compile(r"(?<![0-9A-Za-z])(?:\+|00|\()?[0-9](?:[\x20()./-]{0,2}[0-9]){6,24}(?![0-9A-Za-z])")
+#: A group of digits, and what may stand between two groups of one phone number.
+_GROUP = re.compile(r"(?<![0-9A-Za-z])[0-9]++(?![0-9A-Za-z])")
+_PHONE_LINK = re.compile(r"[\x20()./-]{1,2}")
 _ANY = re.compile(r"[0-9@]|[\[({]at[\])}]", re.IGNORECASE)
 
 PRECISION = 0.98
@@ -105,8 +107,21 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
                     break
                 if n >= 13:
                     found["card", m.start() + groups[i][0], m.start() + groups[j][1]] = None
-    for m in _LOOSE_PHONE.finditer(text):
-        found["phone", m.start(), m.end()] = None
+    groups = [m.span() for m in _GROUP.finditer(text)]
+    linked = [_PHONE_LINK.fullmatch(text, a[1], b[0]) is not None for a, b in zip(groups, groups[1:], strict=False)] + [False]
+    for i, (begin, first) in enumerate(groups):
+        # runs of groups that together have as many digits as a phone number, with its + or bracket
+        most = 17 if first - begin > 2 and text.startswith("00", begin) else 15
+        start = begin - (text[begin - 1 : begin] in ("+", "(") and not text[max(0, begin - 2) : begin - 1].isalnum())
+        n = 0
+        for j in range(i, len(groups)):
+            n += groups[j][1] - groups[j][0]
+            if n > most:
+                break
+            if n >= 7:
+                found["phone", start, groups[j][1]] = None
+            if not linked[j]:
+                break
     return list(found)
 
 
@@ -140,6 +155,9 @@ def features(text: str, span: tuple[str, int, int]) -> list[float]:
         float("@" in body), float("dot" in body.lower()), len(last), float(last.isalpha()), float("." in domain or "dot" in domain),
         float(bool(words & set(CUES[kind]))), float(bool(words & set(OTHER_CUES))), float(bool(re.match(r"\s?[0-9]", after))), float(bool(re.search(r"[0-9]\s?$", before))),
         float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before[-1:] in "$€£#=v"), float(after[:1] in "%€$"),
+        len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, len(groups[-2]) if len(groups) > 1 else 0, body.find("("),
+        float(bool(re.search(r"(?:\+|\b00)[0-9]{1,3}[\x20./-]?$", before))), float(bool(re.search(r"[0-9)][./-]$", before))), float(bool(re.match(r"[)./-]\x20?[0-9]", after))), float(bool(re.match(r"\x20?\([0-9]", after))),
+        float(bool(re.search(r"\)\x20?$", before))), len(re.findall(r"\x20", body)), max((len(x) for x in re.split(r"\x20", body)), default=0), float(bool(re.search(r"[./-]", body.split(" ")[0]))), float("." in body.split(" ")[-1]),
     ]
 
 
@@ -161,7 +179,7 @@ def training_snippets(n: int = 6000, seed: int = SEED) -> list[tuple[str, tuple[
         return f"{word()}{pick(['', '.', '_'])}{word()}{pick(['', num(2)])}{at}{word()}{dot}{pick(['com', 'net', 'org', 'de', 'fr', 'io', 'co.uk'])}"
 
     def phone() -> str:
-        return pick([f"+1 ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(4)} {num(3)}", f"00{num(2)} {num(3)} {num(7)}"])
+        return pick([f"+1 ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(4)} {num(3)}", f"00{num(2)} {num(3)} {num(7)}", f"{num(3)}-{num(3)}-{num(4)}"])
 
     def address() -> str:
         parts = [str(int(x)) for x in rng.integers(1, 256, 4)]
@@ -182,12 +200,18 @@ def training_snippets(n: int = 6000, seed: int = SEED) -> list[tuple[str, tuple[
         kind = pick([*KINDS, None])
         cue = f" {pick(CUES[kind])}{pick([' ', ': '])}" if kind and rng.random() < 0.3 else " "
         body = makers[kind]() if kind else mistaken()
+        text = f"{lead}{cue}"
         if kind and rng.random() < 0.15:  # what else may stand close by
-            tail = mistaken() + " " + tail
-        text = f"{lead}{cue}{body} {tail}"
-        begin = len(lead) + len(cue)
-        right = (kind, begin, begin + len(body))
-        out += [(text, span, int(span == right)) for span in proposals(text)]
+            text += (mistaken() if rng.random() < 0.5 else num(int(rng.integers(1, 4)))) + " "
+        right = {(kind, len(text), len(text) + len(body))}
+        text += body + " "
+        if kind and rng.random() < 0.3:
+            other = pick([None, None, None, kind, *KINDS])
+            beside = makers[other]() if other else pick([mistaken(), num(int(rng.integers(1, 4)))])
+            right.add((other, len(text), len(text) + len(beside)))
+            text += beside + " "
+        text += tail
+        out += [(text, span, int(span in right)) for span in proposals(text)]
     return out
 
 
@@ -265,10 +289,9 @@ def train_detector(snippets, rounds: int = 25, depth: int = 3, rate: float = 0.3
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], model: Detector) -> list[tuple[str, int, int]]:
-    """Proposals that the model selects and that overlap no base span, best first."""
-    base_at = {k: [(b, e) for kind, b, e in base if kind == k] for k in KINDS}
-    taken = sorted((b, e) for _, b, e in base)
-    free = [s for s in proposals(text) if not _overlaps(taken, s[1], s[2])]
+    """Proposals that the model selects and that overlap no base span of their kind, best first."""
+    base_at = {k: sorted((b, e) for kind, b, e in base if kind == k) for k in KINDS}
+    free = [s for s in proposals(text) if not _overlaps(base_at[s[0]], s[1], s[2])]
     if not free:
         return []
     x = np.array([features(text, s) for s in free])
@@ -276,7 +299,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], model: Detector) ->
     for kind in KINDS:
         if mine := [i for i, s in enumerate(free) if s[0] == kind]:
             scores[mine] = model.scores(x[mine], kind)
-    out, used = [], {k: sorted(v) for k, v in base_at.items()}
+    out, used = [], {k: list(v) for k, v in base_at.items()}
     for i in np.lexsort(([s[1] for s in free], -scores)):
         kind, begin, end = free[i]
         if scores[i] >= model.thresholds[kind] and not _overlaps(used[kind], begin, end):

@@ -163,6 +163,15 @@ def test_added_spans(detector):
         assert personal_data.added_spans(text, personal_data.base_spans(text), detector) == []
 
 
+def test_phones_beside_other_numbers(detector):
+    found = {
+        "ring (212) 555-0100 24 hours": [(5, 19)], "555-123-4567 555-987-6543": [(0, 12), (13, 25)], "(212) 555-0100 (212) 555-0199": [(0, 14), (15, 29)],
+        "at +1 (843) 555-7672 170.106.47.218": [(3, 20)], "page 3 of (212) 555-0100 12, 13": [(10, 24)],
+    }
+    for text, spans in found.items():
+        assert sorted(personal_data.added_spans(text, personal_data.base_spans(text), detector)) == [("phone", *s) for s in spans]
+
+
 def test_detector_on_held_out_snippets(detector):
     rows = personal_data.training_snippets(1500, seed=99)
     x = np.array([personal_data.features(t, s) for t, s, _ in rows])
