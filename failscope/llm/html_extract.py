@@ -14,7 +14,7 @@ others.
 have it, how many texts it takes, and how often the commonest comes: constant nodes are template,
 varying ones slots. Slots below page furniture (menus, headers, footers, sidebars, notices, adverts,
 forms, comments) are not content. The content region is the article (or main) node of the template
-where it has one, else the node that holds most of the varying text.
+where it has one, else the nodes that hold the varying text.
 
 *Extraction.* Each page is parsed again and gives the blocks of its host's content region.
 """
@@ -213,11 +213,17 @@ def weighted(tree: list, n: int) -> list:
 
 
 def content_region(template: list, slots: dict[str, tuple[int, int, int]]) -> dict:
-    """What to take of a host's pages: ``regions`` (paths) and ``constant`` (paths outside them).
+    """What to take of a host's pages: ``regions`` (paths, with all below), ``own`` (paths whose own
+    text alone is taken) and ``constant`` (paths outside them).
 
     ``slots``: for each path the pages that have it, the pages with its commonest text, and its
     characters on all pages. A path is constant if its commonest text stands on half of its pages,
     three at least.
+
+    Without article or main node, the search goes down into a child that holds 70% of the varying
+    text of its parent. Its siblings that have varying text are searched in the same way, so no
+    varying text is left out but furniture; constant siblings are. With less than 70% in any child,
+    the whole node is a region.
     """
     constant = sorted(p for p, (n, top, _) in slots.items() if n >= 3 and 2 * top >= n)
     regions: list[str] = []
@@ -238,7 +244,7 @@ def content_region(template: list, slots: dict[str, tuple[int, int, int]]) -> di
 
     named(template, "")
     if regions:
-        return {"regions": regions, "constant": constant}
+        return {"regions": regions, "own": [], "constant": constant}
 
     fixed = set(constant)
 
@@ -246,14 +252,24 @@ def content_region(template: list, slots: dict[str, tuple[int, int, int]]) -> di
         own = slots[path][2] if path in slots and path not in fixed else 0
         return own + sum(mass(x, f"{path}/{x[0]}") for x in node[2] if not furniture(x[0]))
 
-    node, path = template, ""
-    while True:
+    own: list[str] = []
+
+    def descend(node: list, path: str) -> None:
         inner = [(mass(x, f"{path}/{x[0]}"), x) for x in node[2] if not furniture(x[0])]
         heaviest = max(inner, key=lambda x: x[0], default=(0, None))
         # a node that only repeats text blocks is left to its parent, whose headings belong to it
         if heaviest[1] is None or not heaviest[1][2] or 10 * heaviest[0] < 7 * mass(node, path):
-            return {"regions": [path], "constant": constant}
-        node, path = heaviest[1], f"{path}/{heaviest[1][0]}"
+            regions.append(path)
+            return
+        if path in slots and path not in fixed:
+            own.append(path)
+        for chars, child in inner:  # what varies beside the heaviest is content too
+            if chars:
+                descend(child, f"{path}/{child[0]}")
+
+    if mass(template, ""):
+        descend(template, "")
+    return {"regions": regions, "own": own, "constant": constant}
 
 
 def main_text(page: str, wrapper: dict | None) -> str:
@@ -263,18 +279,19 @@ def main_text(page: str, wrapper: dict | None) -> str:
     furniture; there, constant nodes are template.
     """
     every = blocks(page)
-    wrapper = wrapper or {"regions": [], "constant": []}
-    taken = []
+    wrapper = wrapper or {"regions": [], "own": [], "constant": []}
+    taken, found = [], False
     for path, text in every:
         joined = "".join(f"/{x}" for x in path)
-        region = next((r for r in wrapper["regions"] if r and (joined == r or joined.startswith(r + "/"))), None)
+        region = next((r for r in wrapper["regions"] if r and (joined == r or joined.startswith(r + "/"))), joined if joined in wrapper["own"] else None)
         if region is None:
             continue
+        found = True
         outer = region.count("/")
         if any(furniture(x) for x in path[:outer]) or any(furniture(x, inside=True) for x in path[outer:]):
             continue
         taken.append(text)
-    if not taken and not any(r and any("".join(f"/{x}" for x in p).startswith(r) for p, _ in every) for r in wrapper["regions"]):
+    if not found:
         constant = set(wrapper["constant"])
         taken = [text for path, text in every if not any(furniture(x) for x in path) and "".join(f"/{x}" for x in path) not in constant]
     return "\n\n".join(taken)
@@ -354,7 +371,7 @@ def _extract(batches):
                 if wrapper not in wrappers:
                     if len(wrappers) > 1000:
                         wrappers.clear()
-                    wrappers[wrapper] = json.loads(wrapper) if wrapper else {"regions": [], "constant": []}
+                    wrappers[wrapper] = json.loads(wrapper) if wrapper else None
                 texts.append(main_text(page, wrappers[wrapper]))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]

@@ -86,6 +86,16 @@ def test_wrapper_without_article_nodes(spark):
     assert got == {i: f"Title {i}\n\nBody {i} of it, with more words than others\n\nAnd {i}" for i in range(8)}
 
 
+def test_all_varying_text_without_article_nodes(spark):
+    head = "<body><div class=top><p>Same line everywhere</p></div><h1>Title %d</h1><div class=entry><p>Body %d of it, with many more words than the title has</p><h2>Notes</h2><p>And %d</p></div></body>"
+    parts = "<body><div class=top><p>Same line everywhere</p></div>own %d<div class=x1><p>First %d part, the longer one of the two by a good deal</p></div><div class=x2><h3>Second</h3><p>Part %d</p></div></body>"
+    rows = [(i, f"http://{h}.org/x", page % (i, i, i)) for h, page in (("head", head), ("parts", parts)) for i in range(8)]
+    got = sorted(r.text for r in html_extract.extract_main_text(pages_of(spark, rows)).collect())
+    wanted = [f"Title {i}\n\nBody {i} of it, with many more words than the title has\n\nNotes\n\nAnd {i}" for i in range(8)]
+    wanted += [f"own {i}\n\nFirst {i} part, the longer one of the two by a good deal\n\nSecond\n\nPart {i}" for i in range(8)]
+    assert got == sorted(wanted)
+
+
 def test_tree_matching_aligns_siblings():
     tree = lambda *paths: html_extract.tree_of([p.split("/") for p in paths])
     a, b = tree("body/nav", "body/div/p", "body/footer"), tree("body/div/h1", "body/aside", "body/footer", "body/nav")
