@@ -10,9 +10,9 @@ done in steps: equal trees are counted first, each task merges a share of a host
 and one small merge a host is left. A host with a third of all pages costs no more there than
 others.
 
-*Slots.* For each node of the template one aggregate over all pages of the host tells how many pages
-have it, how many texts it takes, and how often the commonest comes: constant nodes are template,
-varying ones slots. Slots below page furniture (menus, headers, footers, sidebars, notices, adverts,
+*Slots.* For each node of the template one aggregate over the host's different pages (copies, which
+have the same text outside furniture, count once) tells how many have it and how many texts it takes:
+constant nodes are template, varying ones slots. Slots below page furniture (menus, headers, footers, sidebars, notices, adverts,
 forms, comments) are not content. The content region is the article (or main) node of the template
 where it has one, else the nodes that hold the varying text.
 
@@ -212,20 +212,22 @@ def weighted(tree: list, n: int) -> list:
     return [tree[0], tree[1] * n, [weighted(x, n) for x in tree[2]]]
 
 
-def content_region(template: list, slots: dict[str, tuple[int, int, int]]) -> dict:
+def content_region(template: list, slots: dict[str, tuple[int, int, int, int]]) -> dict:
     """What to take of a host's pages: ``regions`` (paths, with all below), ``own`` (paths whose own
     text alone is taken) and ``constant`` (paths outside them).
 
-    ``slots``: for each path the pages that have it, the pages with its commonest text, and its
-    characters on all pages. A path is constant if its commonest text stands on half of its pages,
-    three at least.
+    ``slots``: for each path the different pages that have it, the different texts it takes on them,
+    the pages with its commonest text, and its characters on them. A path is constant if it has one
+    text on three pages at least, or the commonest on nine of ten and ten pages a text (a template
+    that some pages cut off): groups of copies alone make no path constant. If nothing varies,
+    nothing tells template from content, and no path is constant.
 
     Without article or main node, the search goes down into a child that holds 70% of the varying
     text of its parent. Its siblings that have varying text are searched in the same way, so no
     varying text is left out but furniture; constant siblings are. With less than 70% in any child,
     the whole node is a region.
     """
-    constant = sorted(p for p, (n, top, _) in slots.items() if n >= 3 and 2 * top >= n)
+    constant = sorted(p for p, (n, texts, top, _) in slots.items() if n >= 3 and (texts == 1 or 10 * texts <= n and 10 * top >= 9 * n))
     regions: list[str] = []
 
     def named(node: list, path: str) -> None:
@@ -249,7 +251,7 @@ def content_region(template: list, slots: dict[str, tuple[int, int, int]]) -> di
     fixed = set(constant)
 
     def mass(node: list, path: str) -> int:
-        own = slots[path][2] if path in slots and path not in fixed else 0
+        own = slots[path][3] if path in slots and path not in fixed else 0
         return own + sum(mass(x, f"{path}/{x[0]}") for x in node[2] if not furniture(x[0]))
 
     own: list[str] = []
@@ -267,8 +269,9 @@ def content_region(template: list, slots: dict[str, tuple[int, int, int]]) -> di
             if chars:
                 descend(child, f"{path}/{child[0]}")
 
-    if mass(template, ""):
-        descend(template, "")
+    if not mass(template, ""):
+        return {"regions": [], "own": [], "constant": []}
+    descend(template, "")
     return {"regions": regions, "own": own, "constant": constant}
 
 
@@ -298,20 +301,22 @@ def main_text(page: str, wrapper: dict | None) -> str:
 
 
 def _shapes(batches):
-    """Rows (host, html) -> (host, shape, slots): the page's tree, and digest and length of the text of each path."""
+    """Rows (host, html) -> (host, shape, slots, page): the page's tree, digest and length of the text of each path outside furniture, and a digest of all these."""
     for batch in batches:
-        shapes, slots = [], []
+        shapes, slots, digests = [], [], []
         pages = batch.column("html")
         for at in range(0, len(pages), 64):
             for page in pages.slice(at, 64).to_pylist():
                 texts: dict[str, list[str]] = {}
                 every = blocks(page)
                 for path, text in every:
-                    texts.setdefault("".join(f"/{x}" for x in path), []).append(text)
+                    if not any(furniture(x) for x in path):
+                        texts.setdefault("".join(f"/{x}" for x in path), []).append(text)
                 shapes.append(json.dumps(tree_of(p for p, _ in every), separators=(",", ":")))
                 slots.append([{"path": p, "digest": hashlib.blake2b("\n".join(t).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest(), "chars": sum(map(len, t))} for p, t in texts.items()])
+                digests.append(hashlib.blake2b("\n".join(f"{x['path']} {x['digest']}" for x in sorted(slots[-1], key=lambda x: x["path"])).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
         kind = pa.list_(pa.struct([("path", pa.string()), ("digest", pa.string()), ("chars", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(shapes, pa.string()), pa.array(slots, kind)], names=["host", "shape", "slots"])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(shapes, pa.string()), pa.array(slots, kind), pa.array(digests, pa.string())], names=["host", "shape", "slots", "page"])
 
 
 def _merge_runs(batches):
@@ -341,20 +346,21 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     parts = partitions(spark)
     plain = pages.select(url_host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    seen = materialise(plain.mapInArrow(_shapes, "host string, shape string, slots array<struct<path: string, digest: string, chars: long>>"), "page-shapes")
+    seen = materialise(plain.mapInArrow(_shapes, "host string, shape string, slots array<struct<path: string, digest: string, chars: long>>, page string"), "page-shapes")
 
     run = "host string, share int, shape string, n long"
     shapes = seen.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.pmod(F.xxhash64("shape"), F.lit(SHARES)).cast("int")).select("host", "share", "shape", "n")
     shared = shapes.repartition(parts, "host", "share").sortWithinPartitions("host", "share", "shape").mapInArrow(_merge_runs, run)
     whole = shared.withColumn("share", F.lit(0)).repartition(parts, "host").sortWithinPartitions("host", "share", "shape").mapInArrow(_merge_runs, run)
 
-    texts = seen.select("host", F.explode("slots").alias("s")).groupBy("host", "s.path", "s.digest").agg(F.count(F.lit(1)).alias("n"), F.sum("s.chars").alias("chars"))
-    slots = texts.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.max("n").alias("top"), F.sum("chars").alias("chars"))
-    by_host = slots.groupBy(F.col("host").alias("of_host")).agg(F.collect_list(F.struct("path", "pages", "top", "chars")).alias("slots"))
+    different = seen.select("host", "page", "slots").dropDuplicates(["host", "page"])
+    texts = different.select("host", F.explode("slots").alias("s")).groupBy("host", "s.path", "s.digest").agg(F.count(F.lit(1)).alias("n"), F.sum("s.chars").alias("chars"))
+    slots = texts.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("texts"), F.max("n").alias("top"), F.sum("chars").alias("chars"))
+    by_host = slots.groupBy(F.col("host").alias("of_host")).agg(F.collect_list(F.struct("path", "pages", "texts", "top", "chars")).alias("slots"))
 
     def choose(batches):
         for batch in batches:
-            found = [json.dumps(content_region(json.loads(t), {x["path"]: (x["pages"], x["top"], x["chars"]) for x in s or []})) for t, s in zip(batch.column("shape").to_pylist(), batch.column("slots").to_pylist(), strict=True)]
+            found = [json.dumps(content_region(json.loads(t), {x["path"]: (x["pages"], x["texts"], x["top"], x["chars"]) for x in s or []})) for t, s in zip(batch.column("shape").to_pylist(), batch.column("slots").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.string())], names=["host", "wrapper"])
 
     chosen = whole.join(by_host, F.col("host") == F.col("of_host"), "left").select("host", "shape", "slots")

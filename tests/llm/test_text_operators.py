@@ -96,6 +96,16 @@ def test_all_varying_text_without_article_nodes(spark):
     assert got == sorted(wanted)
 
 
+@pytest.mark.parametrize("dated", [False, True])
+def test_copies_of_an_article_stay_content(spark, dated):
+    page = "<body><div class=top><p>Same line everywhere</p></div><nav>%d</nav><div class=meta><b>%s</b></div><div class=entry><p>Body %d with many more words than the rest of the page has</p><p>And %d</p></div></body>"
+    of = lambda i: max(i, 4)  # noqa: E731  # five of ten pages are copies
+    date = lambda i: f"day {i if dated else of(i)}"
+    rows = [(i, "http://copies.org/x", page % (i, date(i), of(i), of(i))) for i in range(10)]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(pages_of(spark, rows)).collect()}
+    assert got == {i: f"{date(i)}\n\nBody {of(i)} with many more words than the rest of the page has\n\nAnd {of(i)}" for i in range(10)}
+
+
 def test_tree_matching_aligns_siblings():
     tree = lambda *paths: html_extract.tree_of([p.split("/") for p in paths])
     a, b = tree("body/nav", "body/div/p", "body/footer"), tree("body/div/h1", "body/aside", "body/footer", "body/nav")
