@@ -38,9 +38,9 @@ _NOT_DIGIT = re.compile(r"[^0-9]+")
 #: Looser forms. What stands inside one match is proposed too, see :func:`proposals`.
 _LOOSE_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\}|@)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\.)\x20?[A-Za-z0-9-]{2,63}){1,4}", re.IGNORECASE)
 _LOOSE_IP = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,4}(?:\x20?[.,\[\]()]{1,3}\x20?[0-9]{1,4}){3}(?![0-9A-Za-z])")
-_LOOSE_CARD = re.compile(r"(?<![0-9A-Za-z])[0-9]{2,19}(?:[\x20._/-]{1,2}[0-9]{1,19}){0,40}(?![0-9A-Za-z])")
-#: A group of digits, and what may stand between two groups of one phone number.
+#: A group of digits, and what may stand between two groups of one card or phone number.
 _GROUP = re.compile(r"(?<![0-9A-Za-z])[0-9]++(?![0-9A-Za-z])")
+_CARD_LINK = re.compile(r"[\x20._/-]{1,2}")
 _PHONE_LINK = re.compile(r"[\x20()./-]{1,2}")
 _ANY = re.compile(r"[0-9@]|[\[({]at[\])}]", re.IGNORECASE)
 
@@ -85,6 +85,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 _HAS_DIGIT = re.compile("[0-9]")
 
 
+def _linked(text: str, groups: list[tuple[int, int]], link: re.Pattern) -> list[bool]:
+    """For each group of digits, whether the next one may belong to the same number."""
+    return [link.fullmatch(text, a[1], b[0]) is not None for a, b in zip(groups, groups[1:], strict=False)] + [False]
+
+
 def proposals(text: str) -> list[tuple[str, int, int]]:
     """Overlapping candidate spans of all kinds, in order and without repeats."""
     if not _ANY.search(text):
@@ -96,19 +101,20 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
         found["email", m.start(), m.start() + len(inner)] = None
     for m in _LOOSE_IP.finditer(text):
         found["ip", m.start(), m.end()] = None
-    for m in _LOOSE_CARD.finditer(text):
-        # runs of the groups of digits that together have as many digits as a card
-        groups = [(g.start(), g.end()) for g in re.finditer("[0-9]+", m.group())]
-        for i in range(len(groups)):
-            n = 0
-            for j in range(i, min(i + 8, len(groups))):
-                n += groups[j][1] - groups[j][0]
-                if n > 19:
-                    break
-                if n >= 13:
-                    found["card", m.start() + groups[i][0], m.start() + groups[j][1]] = None
     groups = [m.span() for m in _GROUP.finditer(text)]
-    linked = [_PHONE_LINK.fullmatch(text, a[1], b[0]) is not None for a, b in zip(groups, groups[1:], strict=False)] + [False]
+    # runs of groups that together have as many digits as a card
+    linked = _linked(text, groups, _CARD_LINK)
+    for i, (begin, _) in enumerate(groups):
+        n = 0
+        for j in range(i, len(groups)):
+            n += groups[j][1] - groups[j][0]
+            if n > 19:
+                break
+            if n >= 13:
+                found["card", begin, groups[j][1]] = None
+            if not linked[j]:
+                break
+    linked = _linked(text, groups, _PHONE_LINK)
     for i, (begin, first) in enumerate(groups):
         # runs of groups that together have as many digits as a phone number, with its + or bracket
         most = 17 if first - begin > 2 and text.startswith("00", begin) else 15

@@ -192,6 +192,12 @@ def test_phones_beside_other_numbers(detector):
         assert sorted(personal_data.added_spans(text, personal_data.base_spans(text), detector)) == [("phone", *s) for s in spans]
 
 
+def test_cards_in_long_runs_of_numbers():
+    lead = "7 " * 39
+    for text, card in ((lead + "4111.1111.1111.1111", (78, 97)), ("411 11 11 11 11 11 11 1 1", (0, 25)), ("x 41 11/11/11.11-11_11-11-1-1 y", (2, 29))):
+        assert ("card", *card) in personal_data.proposals(text), text
+
+
 def test_detector_on_held_out_snippets(detector):
     rows = personal_data.training_snippets(1500, seed=99)
     x = np.array([personal_data.features(t, s) for t, s, _ in rows])
