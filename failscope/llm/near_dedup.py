@@ -87,7 +87,8 @@ def _sketch(batches, words: int, trees: int, depth: int):
             rows.append(marks)
         flat = np.concatenate(rows).reshape(-1) if rows else np.zeros(0, dtype=np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * trees, pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists], names=["doc_id", "key", "n_shingles", "labels"])
+        kept = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), lists], names=[*kept, "key", "n_shingles", "labels"])
 
 
 def shared_sizes(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
@@ -219,10 +220,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     doc_ids has null ids and isn't compared with others if other rows have null doc_ids and other
     texts. No rows give no rows. Columns other than doc_id and text are ignored.
     """
-    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return _classed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), threshold, words, trees, recall, block)
+
+
+def _classed(plain: DataFrame, threshold: float, words: int, trees: int = TREES, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """:func:`near_duplicates` of rows (doc_id, text without null); further columns are kept."""
+    kept = [c for c in plain.columns if c != "text"]
     depth = stop_depth(threshold, trees, recall)
-    kind = plain.schema["doc_id"].dataType.simpleString()
-    sketches = materialise(plain.mapInArrow(lambda it: _sketch(it, words, trees, depth), f"doc_id {kind}, {SKETCH}"), "near-sketches")
+    kinds = ", ".join(f"{c} {plain.schema[c].dataType.simpleString()}" for c in kept)
+    sketches = materialise(plain.mapInArrow(lambda it: _sketch(it, words, trees, depth), f"{kinds}, {SKETCH}"), "near-sketches")
     classes = sketches.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels"))
     classes = materialise(classes, "near-classes")
     found = _links(plain, classes, words, threshold, block)
@@ -235,7 +241,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     least = materialise(placed.groupBy(F.col("root").alias("least_of")).agg(F.min("rep_id").alias("class_id")), "near-least")
     placed = materialise(placed.join(least, F.col("root") == F.col("least_of")).select(F.col("key").alias("class_key"), "class_id", "rep_id", "n_copies", "n_links"), "near-classes")
     return sketches.join(placed, (F.col("key") == F.col("class_key")) & (F.col("n_shingles") > 0), "left").select(
-        "doc_id",
+        *kept,
         F.when(F.col("n_shingles") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(F.col("n_shingles") > 0, F.col("rep_id")).otherwise(F.col("doc_id")).alias("rep_id"),
         F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"),
@@ -246,10 +252,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
 def one_of_each_class(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, whose doc_id is the smallest of its class.
 
-    Rows of null doc_id stay.
+    Rows of null doc_id stay. A doc_id may stand on rows with different texts; each row goes or
+    stays by its own text.
     """
-    gone = near_duplicates(docs, threshold, words).where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    text = F.coalesce("text", F.lit(""))
+    digest = F.unhex(F.md5(text))
+    gone = _classed(docs.select("doc_id", digest.alias("digest"), text.alias("text")), threshold, words)
+    gone = gone.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone"), F.col("digest").alias("__digest"))
+    return docs.join(gone, (F.col("doc_id") == F.col("__gone")) & (digest == F.col("__digest")), "left_anti").select(*docs.columns)
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -98,6 +98,13 @@ def test_one_of_each_class(spark):
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == {eval(x)[1] for x in brute(rows) if eval(x)[1] is not None}
 
 
+def test_rows_of_one_doc_id_are_judged_by_their_text(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (5, " ".join([*words, "more"])), (5, "another clean text of its own words"), (5, None)]
+    kept = near_dedup.one_of_each_class(docs_of(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == sorted((i, t or "") for i, t in (rows[0], *rows[2:]))
+
+
 def test_stop_depth_reaches_recall():
     depth = near_dedup.stop_depth()
     assert 1 - (1 - 0.8**depth) ** near_dedup.TREES >= near_dedup.RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** near_dedup.TREES
