@@ -1,13 +1,14 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: fixed MinHash banding, then exact verification.
 
 *Sets.* Texts with the same set of word shingles are one class; a class is known by a 128-bit digest
 of its sorted set and joined to itself nowhere. The operator links classes whose sets have a Jaccard
 similarity of the threshold or more.
 
-*Forest.* Each of ``TREES`` trees labels a set with a sequence of MinHash values, sorted labels being
-the tree's prefix trie. Matching begins at the full label and shortens the prefixes, in all trees
-together, until the chance that a pair at the threshold agrees in some tree's prefix reaches the
-target recall (:func:`stop_depth`). All classes below one node of that depth are compared.
+*Bands.* Each of ``TREES`` bands labels a set with a number of MinHash values. That number is worked out
+before any data is read: the greatest, ``FULL_DEPTH`` at most, with which a pair at the threshold
+agrees in some band with the chance of the target recall (:func:`stop_depth`; 4 by default). This
+replaces a forest: no longer labels are made, and no prefixes are matched or shortened. All classes
+of one label in a band are compared.
 
 *Verification.* Nodes with the same members in several trees are kept once. A node of more than
 ``BLOCK`` members is cut into blocks by hash, and each pair of blocks is a task of its own, so that
