@@ -21,13 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: what the session's ``spark.checkpoint.dir`` says.
 
-    It is what the session's ``spark.checkpoint.dir`` says. Only where that is unset, as in local
-    tests, a folder of this machine is made and put into the session.
+    Where that is unset, a session on this machine alone, as in tests, gets a temporary folder; a
+    cluster raises, for its executors would each write to a folder of their own.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         at = "file://" + tempfile.mkdtemp(prefix="failscope-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -51,3 +54,25 @@ def whole_text(col: str = "text") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fresh(taken, *names: str) -> list[str]:
+    """Column names like ``names`` that none of the columns ``taken`` has, whatever their case."""
+    low, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Tables are broadcast by hint only if all their rows fit into so many bytes.
+BROADCAST_BYTES = 32 << 20
+
+
+def by_size(written: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table with the hint to broadcast it if its rows, of ``row_bytes`` bytes each at most,
+    are known to fit into ``BROADCAST_BYTES``; else as it is, for a join that shuffles and can split
+    hot keys. The count comes from the files' footers."""
+    return F.broadcast(written) if written.count() * row_bytes <= BROADCAST_BYTES else written

@@ -83,16 +83,30 @@ def brute_lines(rows, min_chars=40, min_docs=5):
     return sorted(map(repr, out))
 
 
-def line_rows(df):
-    from pyspark.sql import functions as F
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 20])
+def test_lines(spark, broadcast_bytes):
+    assert rows_of(line_dedup.line_digests(docs_of(spark, ROWS), broadcast_bytes=broadcast_bytes)) == brute_lines(ROWS)
+    many = [(i, "\n".join(f"{LONG} {j}" if (i + j) % 3 else f"own {i} {j}" for j in range(17 * i)), "s") for i in range(30)]
+    assert rows_of(line_dedup.line_digests(docs_of(spark, many), broadcast_bytes=broadcast_bytes)) == brute_lines(many)
 
-    return rows_of(df.select("doc_id", F.size("__lines").alias("n"), (F.size("__lines") - F.size("__kept")).alias("g"), F.sha2(F.array_join("__kept", "\n"), 256).alias("s")))
 
+def test_postings_are_sorted_and_streamed_without_another_exchange(spark):
+    postings = line_dedup.line_postings(docs_of(spark, ROWS))
+    plan = line_dedup.frequent_lines(postings)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(h" in plan and "Window" in plan and "Sort [h" in plan and "pos" in plan[plan.index("Sort [h") :].split("\n")[0]
+    assert plan.count("Exchange") == 2  # the ranges, and one row a line and range
 
-def test_lines(spark):
-    assert line_rows(line_dedup.kept_lines(docs_of(spark, ROWS))) == brute_lines(ROWS)
-    many = [(i, "\n".join(f"{LONG} {j}" for j in range(i % 90)), "s") for i in range(30)]
-    assert line_rows(line_dedup.kept_lines(docs_of(spark, many))) == brute_lines(many)
+
+def test_lines_of_a_long_text(spark):
+    text = "\n".join(f"{LONG} {i % 50_000}" for i in range(200_000))
+    rows = [(i, text, "s") for i in range(4)] + [(4, text + "\nmore", "s")]
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.line_digests(docs_of(spark, rows)).collect()}
+    assert got == {**{i: (200_000, 200_000) for i in range(4)}, 4: (200_001, 0)}
+
+
+def test_clashing_names(spark):
+    docs = docs_of(spark, ROWS).withColumnsRenamed({"id": "__id", "lang": "of_id", "key": "dropped", "size": "__rk"})
+    assert line_dedup.without_repeated_lines(docs).columns == docs.columns
 
 
 def test_lines_text_is_replaced(spark):
@@ -131,6 +145,6 @@ def test_mixed_documents(spark):
     assert all(r.taken > 0 for r in mixed.collect())
 
 
-@pytest.mark.parametrize("make", [exact_dedup.exact_duplicates, line_dedup.kept_lines, mixing.mix_sources, mixing.mixed_documents, exact_dedup.without_exact_duplicates])
+@pytest.mark.parametrize("make", [exact_dedup.exact_duplicates, line_dedup.line_digests, mixing.mix_sources, mixing.mixed_documents, exact_dedup.without_exact_duplicates])
 def test_empty_tables(spark, make):
     assert make(docs_of(spark, ROWS).where("false")).collect() == []
