@@ -5,6 +5,8 @@ import re
 from collections import defaultdict
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from failscope.llm import exact_dedup, line_dedup, mixing
@@ -46,18 +48,43 @@ def test_exact_duplicates_with_splitting_directory(spark):
     assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(i, i % 40, 5) for i in range(200)}
 
 
-def test_directory_doubles_only_overfull_buckets():
-    directory = exact_dedup.double_directory({0: 10, 1: 10, 8: 3}, 4, 12)
-    assert directory[0] != directory[1] and len(set(directory[8:])) == 1
-    assert set(exact_dedup.double_directory({0: 10**9}, 3, 1)[1:]) != {directory[0]}
+def test_directory_doubles_only_for_overfull_buckets():
+    one = exact_dedup.grow_directory({0: 10, 15: 1}, 4, 12, 3)
+    assert one.depth == 0 and one.local_depths == [0]
+    some = exact_dedup.grow_directory({0: 10, 1: 10, 8: 3, 9: 5}, 4, 12, 2)
+    assert some.depth == 4 and sorted(some.local_depths) == [1, 2, 3, 4, 4]  # the upper half stays one bucket
+    assert len(set(some.pointers[8:])) == 1 and some.pointers[0] != some.pointers[1]
+    assert (np.diff(some.owners) >= 0).all() and set(some.owners) == {0, 1}  # ranges of keys
+    full = exact_dedup.grow_directory({0: 10**9}, 3, 1, 4)
+    assert full.depth == 3 and full.local_depths.count(3) == 2
 
 
-def test_colliding_hashes_are_told_apart_by_bytes():
-    import pyarrow as pa
+def entries_of(rows, **kw):
+    batch = pa.RecordBatch.from_pylist(rows)
+    return pa.Table.from_batches(list(exact_dedup.combine_entries(iter([batch]), exact_dedup.grow_directory({}, 2, 1, 4), 4, **kw))).to_pylist()
+
+
+def test_a_repeated_text_leaves_its_body_once_a_task():
+    row = {"doc_id": 3, "body": b"x" * 100, "h": 7, "sha": b"s"}
+    others = [{"doc_id": i, "body": b"%d" % i * 50, "h": i, "sha": b"%d" % i} for i in range(10, 40)]
+    out = entries_of([row, row, *others, {**row, "doc_id": 1}, *others], held_bytes=3000)
+    mine = [e for e in out if e["sha"] == b"s"]
+    assert [e["body"] is None for e in mine] == [False, True] and sum(e["n"] for e in mine) == 3
+
 
-    batch = pa.RecordBatch.from_pydict({"bucket": [0, 0, 0], "h": [5, 5, 5], "sha": [b"1", b"2", b"1"], "body": [b"x", b"y", b"x"], "least_id": [4, 2, 3], "n": [1, 1, 2]})
+def test_colliding_hashes_are_told_apart_by_bytes():
+    batch = pa.RecordBatch.from_pydict({"h": [5, 5, 5, 5, 6], "sha": [b"1", b"2", b"1", b"1", b"3"], "body": [b"x", b"y", b"x", None, b"x"], "least_id": [4, 2, 3, None, 9], "n": [1, 1, 2, 4, 1]})
     out = pa.Table.from_batches(list(exact_dedup.own_buckets(iter([batch])))).to_pylist()
-    assert out == [{"sha": b"1", "keep_id": 3, "group_size": 3, "chain": 0}, {"sha": b"2", "keep_id": 2, "group_size": 1, "chain": 1}]
+    assert out == [{"sha": b"1", "least_id": 3, "n": 7}, {"sha": b"2", "least_id": 2, "n": 1}, {"sha": b"3", "least_id": 9, "n": 1}]
+
+
+def test_hot_text_and_text_ids(spark):
+    rows = [(f"d{i:04}", "hot" if i % 3 else f"own {i} {'z' * 200}", None) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, own binary").repartition(7).withColumnsRenamed({"own": "of_sha"})
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(docs, bucket_bytes=2000, max_depth=6, held_bytes=4000).collect()}
+    assert got == {d: ("d0001", 600) if t == "hot" else (d, 1) for d, t, _ in rows}
+    kept = exact_dedup.without_exact_duplicates(docs)
+    assert kept.columns == docs.columns and kept.count() == 301 and kept.where("of_sha is not null").count() == 0
 
 
 def test_without_exact_duplicates_keeps_columns(spark):
