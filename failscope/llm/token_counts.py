@@ -1,57 +1,104 @@
 """Token counts: batch encoding inside Arrow functions that return lengths only.
 
-Texts are split at safe boundaries, so that neither a long text nor a large batch is ever encoded at
-once: at ASCII white space for tokenizers that drop white space and never join what stands on both
-sides of it. Equal pieces have equal lengths, so the first ``REMEMBERED`` different pieces of a task,
-which hold the frequent ones, are encoded once and their lengths kept; of each text what is left is
-joined by spaces and encoded again. All encoding is in batches of about ``BATCH_BYTES`` bytes.
+*Pieces.* Texts are split at boundaries that no token crosses, so that the counts of the pieces add
+up to the text's: at ASCII white space for tokenizers that drop it, before a space that follows a
+visible character for byte-level ones, at single spaces for sentence pieces. The pieces of a share
+of a batch are dictionary-encoded: each different piece is encoded once, and the lengths are taken
+back to the texts by vectorised sums.
+
+*Batches.* The tokenizer gets the different pieces in batches of about ``BATCH_BYTES`` bytes of
+UTF-8. A text of more than ``SHARE_BYTES`` is split into shares, and a piece of more than
+``BATCH_BYTES``, as in texts without spaces, is cut between two characters that stand beside each
+other in no token of the vocabulary (:class:`PieceCutter`). Only what has no such place is encoded
+whole, however long it is.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from itertools import repeat
+import re
+import unicodedata
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from failscope.llm.common import table
+from failscope.llm.shingles import text_slices
 
 #: Bytes of the pieces that one call of the tokenizer gets.
 BATCH_BYTES = 256 << 10
-#: Lengths of so many different pieces are remembered in a task.
-REMEMBERED = 300_000
-#: Pieces longer than this are not remembered.
-LONG_PIECE = 64
+#: Bytes of text that are split into pieces at a time.
+SHARE_BYTES = 8 << 20
 TOKEN_LIMIT = 2048
 
-_LOADED: dict[str, tuple] = {}
+_LOADED: dict[str, Encoder] = {}
 
 
-def _load(path: str):
-    """(function from pieces to lengths, whether white space splits are safe) of a tokenizer file."""
+@dataclass
+class Encoder:
+    """``lengths``: from strings to numbers of tokens. ``pieces``: from texts to the pieces of each.
+    ``cut``: a long piece as (string, tokens too many) whose lengths add up to its own. ``skip``:
+    characters left out where a text is split at a single space between visible characters, None if
+    it can't be split there."""
+
+    lengths: Callable[[list[str]], list[int]]
+    pieces: Callable[[pa.Array], pa.ListArray]
+    cut: Callable[[str, int], list[tuple[str, int]]]
+    skip: int | None
+
+
+def load(path: str) -> Encoder:
+    """The encoder of a tokenizer file; loaded once a process."""
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path.endswith(".model"):
-            import sentencepiece
-
-            model = sentencepiece.SentencePieceProcessor(model_file=path)
-            _LOADED[path] = (lambda pieces: [len(x) for x in model.encode(pieces, num_threads=1)], False)
-        else:
-            from tokenizers import Tokenizer
-
-            model = Tokenizer.from_file(path)
-            model.no_truncation()
-            model.no_padding()
-            with open(path) as f:
-                safe = drops_white_space(json.load(f))
-            _LOADED[path] = (lambda pieces: [len(x) for x in model.encode_batch_fast(pieces, add_special_tokens=False)], safe)
+        _LOADED[path] = _sentence_pieces(path) if path.endswith(".model") else _tokenizer(path)
     return _LOADED[path]
 
 
+def _whole(piece: str, most: int) -> list[tuple[str, int]]:
+    return [(piece, 0)]
+
+
+def _listed(split: Callable[[str], list[str]]) -> Callable[[pa.Array], pa.ListArray]:
+    return lambda texts: pa.array([split(t) for t in texts.to_pylist()], pa.list_(pa.large_string()))
+
+
+def _sentence_pieces(path: str) -> Encoder:
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    crossing = any("\u2581" in model.id_to_piece(i).lstrip("\u2581") for i in range(model.get_piece_size()))
+    # each piece gets the mark of a space in front, so a single space can be left out between two
+    split = (lambda t: [t]) if crossing else re.compile(r"(?<=\S) (?=\S)").split
+    return Encoder(lambda pieces: [len(x) for x in model.encode(pieces, num_threads=1)], _listed(split), _whole, None if crossing else 1)
+
+
+def _tokenizer(path: str) -> Encoder:
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    model.no_truncation()
+    model.no_padding()
+    with open(path) as f:
+        config = json.load(f)
+    lengths = lambda pieces: [len(x) for x in model.encode_batch_fast(pieces, add_special_tokens=False)]
+    specials = [t["content"] for t in config.get("added_tokens", [])]
+    spaced = any(any(c.isspace() for c in t["content"]) or t["lstrip"] or t["rstrip"] for t in config.get("added_tokens", []))
+    if drops_white_space(config):
+        cutter = PieceCutter(model, specials, lengths)
+        return Encoder(lengths, lambda texts: pc.ascii_split_whitespace(texts), cutter.cut, 1)
+    first = config.get("pre_tokenizer") or {}
+    bytewise = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not config.get("normalizer") and not spaced
+    return Encoder(lengths, _listed(re.compile(r"(?<=\S)(?= )").split if bytewise else lambda t: [t]), _whole, 0 if bytewise else None)
+
+
 def drops_white_space(config: dict) -> bool:
     r"""Whether the tokenizer cuts at white space and drops it: its first pre-tokenizer removes all
     but matches of a pattern whose only classes are ``\p{L}``, ``\p{N}`` and ``[^\s\p{L}\p{N}]``."""
@@ -64,51 +111,120 @@ def drops_white_space(config: dict) -> bool:
     return not specials and r"[^\s\p{L}\p{N}]+" in pattern and r"\s" not in pattern.replace(r"[^\s\p{L}\p{N}]+", "") and " " not in pattern
 
 
-def balanced(pieces: list[str], batch_bytes: int = BATCH_BYTES):
-    """Runs of ``pieces`` of about ``batch_bytes`` bytes; a longer piece is a run of its own."""
-    run, size = [], 0
-    for piece in pieces:
-        if run and size + len(piece) > batch_bytes:
+class PieceCutter:
+    """Cuts pieces of a tokenizer that splits words, maps their bytes to letters and merges pairs.
+
+    A merge makes a token of the vocabulary, so no merge joins two letters that stand beside each
+    other in no token: the tokens of both sides are the same with and without the other. The end of
+    a word has letters of its own, so the left side is encoded with the first character of the right
+    side, whose own tokens are then too many.
+    """
+
+    def __init__(self, model, specials: list[str], lengths: Callable[[list[str]], list[int]]):
+        from tokenizers import pre_tokenizers
+
+        self.normal = model.normalizer.normalize_str if model.normalizer else lambda x: x
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = lambda x: "".join(p for p, _ in level.pre_tokenize_str(x))
+        suffix = getattr(model.model, "end_of_word_suffix", None) or ""
+        tokens = (t.removesuffix(suffix) if suffix else t for t in model.get_vocab(with_added_tokens=False))
+        self.beside = {pair for t in tokens for pair in zip(t, t[1:], strict=False)}
+        self.specials, self.lengths = specials, lengths
+        self.apart = lru_cache(1 << 20)(self._apart)
+
+    def _apart(self, a: str, b: str) -> bool:
+        """Whether no token and no rule of normalisation joins the characters a and b."""
+        if a == "'" or unicodedata.combining(b) or unicodedata.normalize("NFC", a + b) != a + b or a.isspace() or b.isspace():
+            return False
+        left, right = self.letters(self.normal(a)), self.letters(self.normal(b))
+        return bool(left and right) and (left[-1], right[0]) not in self.beside
+
+    def safe(self, piece: str, i: int) -> bool:
+        if not self.apart(piece[i - 1], piece[i]):
+            return False
+        return not any(s in piece[max(0, i - len(s) + 1) : i + len(s) - 1] for s in self.specials)
+
+    def cut(self, piece: str, most: int) -> list[tuple[str, int]]:
+        """Parts of about ``most`` bytes, each with the tokens that it has too many."""
+        out, begin, step = [], 0, max(1, most // 4)  # a character has four bytes at most
+        while begin + step < len(piece):
+            end = begin + step
+            at = next((i for i in range(end, begin, -1) if self.safe(piece, i)), None) or next((i for i in range(end + 1, len(piece)) if self.safe(piece, i)), None)
+            if at is None:
+                break
+            out.append((piece[begin : at + 1], self.lengths([piece[at]])[0]))
+            begin = at
+        return [*out, (piece[begin:], 0)]
+
+
+def balanced(pieces: list[str], sizes, batch_bytes: int = BATCH_BYTES):
+    """Runs of ``pieces``, whose UTF-8 has ``sizes`` bytes, of about ``batch_bytes`` bytes; a longer
+    piece is a run of its own."""
+    run, held = [], 0
+    for piece, size in zip(pieces, sizes, strict=True):
+        if run and held + size > batch_bytes:
             yield run
-            run, size = [], 0
+            run, held = [], 0
         run.append(piece)
-        size += len(piece)
+        held += size
     if run:
         yield run
 
 
-_BREAKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
-
-
-def count_batches(batches, path: str):
+def piece_lengths(pieces: pa.Array, encoder: Encoder, batch_bytes: int = BATCH_BYTES) -> np.ndarray:
+    """Numbers of tokens of different pieces."""
+    texts, sizes = pieces.to_pylist(), pc.binary_length(pieces).to_pylist()
+    out = np.zeros(len(texts), dtype=np.int64)
+    strings, owners, lengths = [], [], []
+    for i, (text, size) in enumerate(zip(texts, sizes, strict=True)):
+        for part, extra in [(text, 0)] if size <= batch_bytes else encoder.cut(text, batch_bytes):
+            strings.append(part)
+            owners.append(i)
+            lengths.append(size if part is text else len(part.encode()))
+            out[i] -= extra
+    counts = [n for run in balanced(strings, lengths, batch_bytes) for n in encoder.lengths(run)]
+    np.add.at(out, owners, counts)
+    return out
+
+
+_VISIBLE = re.compile(r"(?<=\S) (?=\S)")
+
+
+def _shares(text: str, encoder: Encoder, most: int):
+    """A very long text as shares of about ``most`` characters that end at a single space."""
+    begin = 0
+    while encoder.skip is not None and len(text) - begin > most and (space := _VISIBLE.search(text, begin + most)):
+        yield text[begin : space.start()]
+        begin = space.start() + encoder.skip
+    yield text[begin:]
+
+
+def text_lengths(texts: pa.Array, encoder: Encoder, batch_bytes: int = BATCH_BYTES, share_bytes: int = SHARE_BYTES) -> np.ndarray:
+    """Numbers of tokens of texts, none of them null."""
+    texts = texts.cast(pa.large_string())
+    out = np.zeros(len(texts), dtype=np.int64)
+    for begin, end in text_slices(texts, share_bytes):
+        part = texts.slice(begin, end - begin)
+        groups = [part]
+        if end == begin + 1 and pc.binary_length(part)[0].as_py() > share_bytes:
+            groups = (pa.array([x], pa.large_string()) for x in _shares(part[0].as_py(), encoder, share_bytes))
+        for group in groups:
+            split = encoder.pieces(group)
+            coded = split.flatten().dictionary_encode()
+            lengths = piece_lengths(coded.dictionary, encoder, batch_bytes)
+            upto = np.concatenate([[0], np.cumsum(lengths[coded.indices.to_numpy(zero_copy_only=False)])])
+            offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+            out[begin:end] += upto[offsets[1:]] - upto[offsets[:-1]]
+    return out
+
+
+def count_batches(batches, path: str, batch_bytes: int = BATCH_BYTES, share_bytes: int = SHARE_BYTES):
     """Arrow batches with ``text`` as last column -> the other columns, n_bytes and n_tokens."""
-    encode, safe = _load(path)
-    known: dict[str, int] = {}
+    encoder = load(path)
     for batch in batches:
         texts = batch.column(batch.num_columns - 1)
-        counts = []
-        if safe:
-            for i in range(0, len(texts), 256):
-                split = [t.translate(_BREAKS).split(" ") for t in texts.slice(i, 256).to_pylist()]
-                if len(known) < REMEMBERED:
-                    fresh = list({w for words in split for w in words if len(w) <= LONG_PIECE and w not in known})
-                    for run in balanced(fresh):
-                        known.update(zip(run, encode(run), strict=True))
-                pieces, owners = [], []
-                for owner, words in enumerate(split):
-                    for run in balanced([w for w in words if w not in known]):
-                        pieces.append(" ".join(run))
-                        owners.append(owner)
-                totals = [sum(map(known.get, words, repeat(0))) for words in split]
-                for owner, n in zip(owners, (n for run in balanced(pieces) for n in encode(run)), strict=True):
-                    totals[owner] += n
-                counts += totals
-        else:
-            # no boundary is known to be safe: whole texts, batches balanced by bytes
-            for run in balanced(texts.to_pylist()):
-                counts += encode(run)
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pc.binary_length(texts).cast(pa.int64()), pa.array(counts, pa.int64())],
+            [*batch.columns[:-1], pc.binary_length(texts).cast(pa.int64()), pa.array(text_lengths(texts, encoder, batch_bytes, share_bytes))],
             names=[*batch.schema.names[:-1], "n_bytes", "n_tokens"],
         )
 

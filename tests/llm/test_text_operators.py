@@ -240,7 +240,7 @@ def test_token_counts_of_documents(spark):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = Tokenizer.from_file(path)
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, path).collect()} == {d: len(model.encode(t, add_special_tokens=False)) for d, t in texts.items()}
@@ -264,6 +264,59 @@ def test_other_tokenizers_count_whole_texts(spark, file):
     assert [r.n_tokens for r in sorted(got, key=lambda r: r.doc_id)] == wanted
 
 
-def test_batches_are_balanced():
-    runs = list(token_counts.balanced(["a" * 10] * 25 + ["b" * 500], 100))
-    assert [len(r) for r in runs] == [10, 10, 5, 1]
+def test_batches_are_balanced_by_bytes():
+    pieces = ["a" * 10] * 25 + ["b" * 500] + ["é" * 30] * 4
+    runs = list(token_counts.balanced(pieces, [len(p.encode()) for p in pieces], 100))
+    assert [len(r) for r in runs] == [10, 10, 5, 1, 1, 1, 1, 1] and sum(runs, []) == pieces
+
+
+def unspaced(kind, n):
+    import random
+
+    rng = random.Random(5)
+    letters = {"cjk": [chr(c) for c in range(0x4E00, 0x5200)], "base64": list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"), "marks": list("ae\u0301\u0308İçé'stx<|endoftext|>한글ᄒ"), "one": ["a"]}[kind]
+    return "".join(rng.choices(letters, k=n))
+
+
+@pytest.mark.parametrize("kind", ["cjk", "base64", "marks", "one"])
+def test_long_pieces_are_cut_without_changing_counts(kind):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text, model, encoder = unspaced(kind, 3000), Tokenizer.from_file(path), token_counts.load(path)
+    parts = encoder.cut(text, 256)
+    assert len(parts) > 10 if kind in ("cjk", "base64") else len(parts) >= 1
+    assert sum(len(model.encode(p, add_special_tokens=False)) - n for p, n in parts) == len(model.encode(text, add_special_tokens=False))
+
+
+@pytest.mark.parametrize("kind", ["cjk", "base64"])
+def test_five_megabytes_without_spaces(spark, kind, monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = unspaced(kind, 1_000)
+    n = 5_000_000 // len(text.encode())
+    seen = []
+    encoder = token_counts.load(path)
+    watched = token_counts.Encoder(lambda x: (seen.append(sum(len(s.encode()) for s in x)), encoder.lengths(x))[1], encoder.pieces, encoder.cut, encoder.skip)
+    got = token_counts.text_lengths(token_counts.pa.array([text * n, "two words", text * 3]), watched)
+    assert max(seen) <= token_counts.BATCH_BYTES + 8
+    assert got[1] == 2 and got[2] == len(token_counts_model(path).encode(text * 3, add_special_tokens=False))
+    assert got[0] == len(token_counts_model(path).encode(text * n, add_special_tokens=False))
+
+
+def token_counts_model(path):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"])
+def test_shares_of_a_long_text(file):
+    import public_tokenizers
+
+    encoder = token_counts.load(public_tokenizers.path(file))
+    text = " ".join(t for t in TEXTS if t) * 3 + "  two  spaces \n and lines\n\n  here a b c"
+    texts = token_counts.pa.array([text, "", text + " end"])
+    assert token_counts.text_lengths(texts, encoder, 64, 100).tolist() == [sum(encoder.lengths([t.as_py()])) for t in texts]
