@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from failscope.llm.common import SPACES, by_size, fresh, materialise, partitions, table, whole_text
 
-#: A bucket is overfull beyond so many bytes of distinct texts.
+#: A bucket is overfull beyond so many bytes of distinct texts, and beyond a quarter of an owner's share.
 BUCKET_BYTES = 4 << 20
 #: The directory has 2 ** MAX_DEPTH entries at most; beyond it buckets grow, their chains stay exact.
 MAX_DEPTH = 16
@@ -169,7 +169,8 @@ def build_index(docs: DataFrame, keys: DataFrame, bucket_bytes: int = BUCKET_BYT
     tasks = partitions(docs.sparkSession)
     prefix = F.shiftrightunsigned(F.col("h"), 64 - max_depth)
     weights = keys.groupBy("h").agg(F.max("n_bytes").alias("b")).groupBy(prefix.alias("prefix")).agg(F.sum("b").alias("b"))
-    directory = grow_directory({r.prefix: r.b for r in weights.collect()}, max_depth, bucket_bytes, tasks)  # 2 ** max_depth rows at most
+    held = {r.prefix: r.b for r in weights.collect()}  # 2 ** max_depth rows at most
+    directory = grow_directory(held, max_depth, min(bucket_bytes, sum(held.values()) // (4 * tasks)), tasks)
 
     body = normalised()
     kind = docs.schema["doc_id"].dataType.simpleString()
