@@ -1,22 +1,22 @@
 """Main text of web pages by wrapper induction.
 
-*Trees.* A tolerant parser turns a page into its tree of block elements; siblings of one label (tag,
-classes, id) are one repeated node, so a tree is as small as the site's layout, however long the
-page is.
+*Trees.* A tolerant parser turns a page into its tree of block elements and texts. Runs of unlabelled
+paragraphs, headings, lists and tables beside each other are one flow node, and elements repeated
+in a row one node, so that a tree is as small as the site's layout, however long the page is.
 
 *Alignment.* The trees of a host's pages are aligned by simple tree matching and merged into the
-host's template, whose nodes know on how many pages they stand. Merging is associative enough to be
-done in steps: equal trees are counted first, each task merges a share of a host's different trees,
-and one small merge a host is left. A host with a third of all pages costs no more there than
-others.
-
-*Slots.* For each node of the template one aggregate over the host's different pages (copies, which
-have the same text outside furniture, count once) tells how many have it and how many texts it takes:
-constant nodes are template, varying ones slots. Slots below page furniture (menus, headers, footers, sidebars, notices, adverts,
-forms, comments) are not content. The content region is the article (or main) node of the template
-where it has one, else the nodes that hold the varying text.
-
-*Extraction.* Each page is parsed again and gives the blocks of its host's content region.
+host's template. Equal trees are counted first, each task merges a share of a host's different
+trees, and one small merge a host is left. Then each different tree is aligned with the template,
+which says for every flow node of every page which node of the template, its slot, it is.
+
+*Slots.* One aggregate over the host's different pages counts on how many of them each text of each
+slot stands. Constant texts of a slot are template and go, wherever they stand, but for headings
+with more text of their slot behind them, which title it; what varies is content. Tag names and class words only break ties: varying text in page furniture (menus,
+headers, footers, sidebars, notices, adverts, forms, comments) is no content, and where most of the
+host's varying text is in article or main nodes, what varies outside them isn't.
+
+*Extraction.* The parsed texts, written once, meet the kept nodes and the constant texts of their
+tree; this and all counting is done with DataFrame functions, and no page is parsed twice.
 """
 
 from __future__ import annotations
@@ -25,83 +25,120 @@ import hashlib
 import html as html_lib
 import json
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from failscope.llm.common import materialise, partitions, table
+from failscope.llm.common import by_size, materialise, partitions, table
 from failscope.llm.url_filter import url_host
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^>]*\Z", re.DOTALL)
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
+#: Attributes: a quote begins a value only behind an equals sign.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^>]*\Z", re.DOTALL)
+_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)", re.IGNORECASE)
 #: Elements whose content is never text of the page.
-UNSEEN = frozenset("script style noscript template iframe object svg math textarea select button title head audio video canvas datalist noembed noframes".split())
+UNSEEN = frozenset("script style noscript template iframe svg textarea select button title head datalist noembed noframes".split())
 #: Of those, the ones whose content has no markup.
-_RAW = frozenset("script style iframe textarea title noembed noframes xmp".split())
+_RAW = {t: re.compile(f"</{t}[\\s/>]", re.IGNORECASE) for t in "script style iframe textarea title noembed noframes xmp".split()}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements of running text; without a label they are no nodes of their own.
+FLOW = frozenset("address blockquote caption center dd details dir dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup legend li ol p pre summary table tbody td tfoot th thead tr ul".split())
 #: Elements that begin and end blocks.
-BLOCKS = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption optgroup option".split()
-)
+BLOCKS = FLOW | frozenset("article aside body dialog div footer form header hr html main menu nav search section optgroup option".split())
 #: Open elements that a start tag closes.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol menu dl table html body div article section".split())
-#: Page furniture by tag, and by word of a class, id or role.
-FURNITURE_TAGS = frozenset("nav footer aside form menu dialog header search".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Page furniture by tag, and by the words of one class, id or role: one of the first, no other word than the second.
+FURNITURE_TAGS = frozenset("nav footer aside form menu header search".split())
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs header masthead footer comment comments respond reply replies disqus cookie cookies consent notice notices alert gdpr newsletter subscribe signup popup modal overlay related recommended share sharing social toolbar widget widgets pagination pager complementary contentinfo search login".split()
 )
+NEUTRAL_WORDS = frozenset(
+    "left right top bottom side site page global box bar list area container wrapper wrap block section link links button buttons icon icons item items inner outer slot unit text module panel group row col column primary secondary posts post articles stories form body title count meta author content media thread field input main".split()
+)
 #: A word of a class or id; of its number one digit counts, longer ones name single pages.
 _WORD = re.compile("[a-z]+(?:[0-9](?![0-9]))?")
 _CAMEL = re.compile("(?<=[a-z])(?=[A-Z])")
+#: Deeper nodes are part of their ancestor at this depth; so many siblings of a node are aligned, and
+#: so many nodes of a template are kept, the most frequent ones. What isn't aligned counts as varying.
+MAX_DEPTH, MAX_SIBLINGS, MAX_NODES = 64, 200, 4000
+#: Longer runs of siblings of one tag without label are one repeated node.
+LONG_RUN = 8
+#: A text of a slot is constant if all of so many pages have it, or nine tenths of so many.
+ALL_PAGES, MOST_PAGES = 4, 10
 
 
+@lru_cache(1 << 16)
 def _label(tag: str, attributes: str) -> str:
-    """``tag.word.word``: the tag and the words of its class, id and role."""
+    """``tag.word-word.word``: the tag and the words of its classes, id and role."""
     if not attributes or "=" not in attributes:
         return tag
-    words: list[str] = []
+    names: list[str] = []
     for _, value in _ATTRIBUTE.findall(attributes):
-        words += _WORD.findall(_CAMEL.sub(" ", value).lower())
-    return ".".join([tag, *dict.fromkeys(words)]) if words else tag
+        names += ("-".join(_WORD.findall(_CAMEL.sub(" ", name).lower())) for name in value.strip("\"'").split())
+    return ".".join([tag, *dict.fromkeys(filter(None, names))])
 
 
+@lru_cache(1 << 16)
 def furniture(label: str, inside: bool = False) -> bool:
-    """Whether a node with this label is page furniture; a header inside the region isn't."""
-    tag, *words = label.split(".")
+    """Whether a node with this label is page furniture; a header inside an article isn't."""
+    tag, *names = label.split(".")
     if tag in ("article", "main", "body", "html"):
         return False
     if inside:  # the head of an article is part of it
-        words = [w for w in words if w != "header"]
-        if tag == "header":
-            tag = "div"
-    return tag in FURNITURE_TAGS or any(w.rstrip("0123456789") in FURNITURE_WORDS for w in words)
+        names = [n for n in names if "header" not in n.split("-")]
+        tag = "div" if tag == "header" else tag
+    for name in names:
+        words = [w.rstrip("0123456789") for w in name.split("-")]
+        known = [w in FURNITURE_WORDS for w in words]
+        if any(known) and all(k or w in NEUTRAL_WORDS for k, w in zip(known, words, strict=True)):
+            return True
+    return tag in FURNITURE_TAGS
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
-    """(labels from the root, text) of all blocks of a page with text, in page order.
+def parse(page: str) -> tuple[list, list[str], list[bool]]:
+    """The tree of a page, its texts in page order, and which are headings; a node is [label,
+    children, texts], its children are nodes and numbers of texts.
 
     Character references are decoded and white space is one space. Elements that are never closed
     end with the page; an unfinished tag at its end is no text.
     """
-    out: list[tuple[tuple[str, ...], str]] = []
-    stack: list[tuple[str, str]] = []  # (tag, label)
+    root: list = ["", [], None]
+    texts: list[str] = []
+    headings: list[bool] = []
+    stack: list[tuple[str, list]] = []
+    open_: dict[str, int] = {}
     held: list[str] = []
-    at, end = 0, len(page)
+    at, end, hidden = 0, len(page), 0
 
     def flush() -> None:
-        text = " ".join(html_lib.unescape("".join(held)).split())
-        held.clear()
-        if text and not any(t in UNSEEN for t, _ in stack):
-            out.append((tuple(x for _, x in stack), text))
-
-    def close(tag: str) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                flush()
-                del stack[i:]
-                return
+        if held:
+            text = " ".join(html_lib.unescape("".join(held)).split())
+            held.clear()
+            if text and not hidden:
+                (stack[-1][1] if stack else root)[1].append(len(texts))
+                texts.append(text)
+                headings.append(bool(stack) and stack[-1][0] in _HEADINGS)
+
+    def cut(to: int) -> None:
+        nonlocal hidden
+        for tag, _ in stack[to:]:
+            open_[tag] -= 1
+            hidden -= tag in UNSEEN
+        del stack[to:]
+
+    def push(tag: str, label: str) -> None:
+        nonlocal hidden
+        above = stack[-1][1] if stack else root
+        node = above
+        if len(stack) < MAX_DEPTH and tag not in UNSEEN:
+            node = [label, [], None]
+            above[1].append(node)
+        stack.append((tag, node))
+        open_[tag] = open_.get(tag, 0) + 1
+        hidden += tag in UNSEEN
 
     while at < end:
         token = _TOKEN.search(page, at)
@@ -115,8 +152,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             continue
         tag = tag.lower()
         if token.group(1):
-            if tag in BLOCKS or tag in UNSEEN:
-                close(tag)
+            if open_.get(tag):
+                flush()
+                cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         if tag == "br":
             held.append(" ")
@@ -125,57 +163,157 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
                 flush()
             continue
         if tag in _RAW:
-            stop = re.compile(f"</{tag}[\\s/>]", re.IGNORECASE).search(page, at)
+            stop = _RAW[tag].search(page, at)
             if tag not in UNSEEN:
                 held.append(page[at : stop.start() if stop else end])
             at = end if stop is None else page.find(">", stop.start()) + 1 or end
             continue
         if tag in UNSEEN:
             flush()
-            stack.append((tag, tag))
+            push(tag, tag)
             continue
         if tag not in BLOCKS:
             continue
         flush()
         if stack and stack[-1][0] == "p":  # a block ends an open paragraph
-            stack.pop()
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in _CLOSES.get(tag, ()):
-                del stack[i:]
-                break
-            if stack[i][0] in _SCOPES:
-                break
-        if tag == "body":  # an unclosed head ends here
-            stack[:] = [x for x in stack if x[0] not in UNSEEN]
-        stack.append((tag, _label(tag, token.group(3))))
+            cut(len(stack) - 1)
+        if any(open_.get(t) for t in _CLOSES.get(tag, ())):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in _CLOSES[tag]:
+                    cut(i)
+                    break
+                if stack[i][0] in _SCOPES:
+                    break
+        if tag == "body" and hidden:  # an unclosed head ends here
+            cut(next(i for i, (t, _) in enumerate(stack) if t in UNSEEN))
+        push(tag, _label(tag, token.group(3)))
     flush()
+    return root, texts, headings
+
+
+def _absorb(a: list, b: list) -> None:
+    """Makes b, a repetition of a, part of it."""
+    a[2] += b[2]
+    for child in b[1]:
+        same = next((x for x in a[1] if x[0] == child[0]), None)
+        if same is None:
+            a[1].append(child)
+        else:
+            _absorb(same, child)
+
+
+def fold(node: list) -> list:
+    """The node as the alignment sees it: [label, children, texts], where only flow nodes, labelled
+    ``#``, have texts."""
+    children: list[list] = []
+
+    def flow(numbers: list[int]) -> None:
+        if children and children[-1][0] == "#":
+            children[-1][2].extend(numbers)
+        else:
+            children.append(["#", [], numbers])
+
+    for child in node[1]:
+        if isinstance(child, int):
+            flow([child])
+            continue
+        inner = fold(child)
+        if inner[0] in FLOW and all(x[0] == "#" for x in inner[1]):
+            for x in inner[1]:
+                flow(x[2])
+        elif inner[1]:
+            children.append(inner)
+    # repetitions in a row; what has no label may be different things, if there are few
+    out: list[list] = []
+    i = 0
+    while i < len(children):
+        j = i
+        while j < len(children) and children[j][0] == children[i][0]:
+            j += 1
+        if "." in children[i][0] or j - i > LONG_RUN:
+            for x in children[i + 1 : j]:
+                _absorb(children[i], x)
+            out.append(children[i])
+        else:
+            out += children[i:j]
+        i = j
+    return [node[0], out, []]
+
+
+def shape_of(node: list) -> list:
+    """[label, children] of a folded tree."""
+    return [node[0], [shape_of(x) for x in node[1]]]
+
+
+def flow_nodes(node: list, path: tuple = ()) -> list[tuple[tuple, list]]:
+    """(labels above, node) of the flow nodes below, in order; works on folded trees and on shapes."""
+    out = []
+    for child in node[1]:
+        if child[0] == "#":
+            out.append((path, child))
+        else:
+            out += flow_nodes(child, (*path, child[0]))
     return out
 
 
-def tree_of(paths) -> list:
-    """[label, pages, children] of a page: siblings of one label are one node."""
-    root: list = ["", 1, []]
-    for path in paths:
-        node = root
-        for label in path:
-            for child in node[2]:
-                if child[0] == label:
-                    node = child
-                    break
-            else:
-                node[2].append([label, 1, []])
-                node = node[2][-1]
-    return root
+FURNITURE, PLAIN, MAIN = 0, 1, 2
+
+
+def place_of(path: tuple) -> int:
+    """Where a path leads: into furniture, into an article or main node, or elsewhere."""
+    inside = False
+    for label in path:
+        if furniture(label, inside):
+            return FURNITURE
+        tag, *names = label.split(".")
+        inside = inside or tag in ("article", "main") or tag == "div" and "main" in names
+    return MAIN if inside else PLAIN
+
+
+def page_blocks(page: str) -> tuple[str, list[tuple[int, str, bool]], bytes]:
+    """(shape, (flow node, text, heading) in page order, digest of the three longest texts outside
+    furniture)."""
+    root, texts, headings = parse(page)
+    tree = fold(root)
+    nodes = [0] * len(texts)
+    content = []
+    for n, (path, node) in enumerate(flow_nodes(tree)):
+        for i in node[2]:
+            nodes[i] = n
+        if place_of(path) != FURNITURE:
+            content += [texts[i] for i in node[2]]
+    longest = sorted(content, key=lambda t: (-len(t), t))[:3]
+    own = hashlib.blake2b("\n".join(longest).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return json.dumps(shape_of(tree), separators=(",", ":")), list(zip(nodes, texts, headings, strict=True)), own
+
+
+_PARSED = "shape string, shape_id binary, page binary, blocks array<struct<node: int, text: string, heading: boolean>>"
+
+
+def _parse(batches):
+    kind = pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string()), ("heading", pa.bool_())]))
+    for batch in batches:
+        pages = batch.column(batch.num_columns - 1)
+        for at in range(0, len(pages), 64):
+            part = batch.slice(at, 64)
+            shapes, blocks, digests = [], [], []
+            for page in part.column(part.num_columns - 1).to_pylist():
+                shape, own, digest = page_blocks(page)
+                shapes.append(shape)
+                digests.append(digest)
+                blocks.append([{"node": n, "text": t, "heading": h} for n, t, h in own])
+            ids = [hashlib.blake2b(x.encode(), digest_size=16).digest() for x in shapes]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(shapes), pa.array(ids, pa.binary()), pa.array(digests, pa.binary()), pa.array(blocks, kind)], names=[*part.schema.names[:-1], "shape", "shape_id", "page", "blocks"])
 
 
 def matching(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
     """Simple tree matching of two nodes of one label: the size of the greatest matching that keeps
-    order and ancestry, and the matched pairs of children."""
-    m, n = len(a[2]), len(b[2])
+    order and ancestry, and the matched pairs of children. Children are a node's second field."""
+    m, n = min(len(a[1]), MAX_SIBLINGS), min(len(b[1]), MAX_SIBLINGS)
     size = [[0] * (n + 1) for _ in range(m + 1)]
     for i in range(m):
         for j in range(n):
-            same = matching(a[2][i], b[2][j])[0] if a[2][i][0] == b[2][j][0] else 0
+            same = matching(a[1][i], b[1][j])[0] if a[1][i][0] == b[1][j][0] else 0
             size[i + 1][j + 1] = max(size[i][j + 1], size[i + 1][j], size[i][j] + same)
     pairs, i, j = [], m, n
     while i and j:
@@ -190,216 +328,180 @@ def matching(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
 
 
 def merged(a: list, b: list) -> list:
-    """Two trees aligned: matched nodes are one node on the pages of both, the others stay. A node of
-    ``b`` that stands elsewhere among its siblings joins the sibling of its label."""
-    pairs = dict((j, i) for i, j in matching(a, b)[1])
-    by_label = {x[0]: i for i, x in enumerate(a[2])}
-    children, place = [list(x) for x in a[2]], {i: i for i in range(len(a[2]))}
-    last = -1
-    for j, child in enumerate(b[2]):
-        i = pairs.get(j, by_label.get(child[0]))
-        if i is None:
-            children.insert(last + 1, child)
-            place = {k: v + (v > last) for k, v in place.items()}
-            last += 1
+    """Two templates [label, children, pages] aligned: matched nodes are one node on the pages of
+    both, the others stay in their places."""
+    below = dict((j, i) for i, j in matching(a, b)[1])
+    children, taken = [], 0
+    for j, child in enumerate(b[1]):
+        if j in below:
+            children += a[1][taken : below[j]]
+            taken = below[j] + 1
+            children.append(merged(a[1][below[j]], child))
         else:
-            children[place[i]] = merged(children[place[i]], child)
-            last = max(last, place[i])
-    return [a[0], a[1] + b[1], children]
-
+            children.append(child)
+    return [a[0], children + a[1][taken:], a[2] + b[2]]
 
-def weighted(tree: list, n: int) -> list:
-    return [tree[0], tree[1] * n, [weighted(x, n) for x in tree[2]]]
 
+def weighted(shape: list, n: int) -> list:
+    return [shape[0], [weighted(x, n) for x in shape[1]], n]
 
-def content_region(template: list, slots: dict[str, tuple[int, int, int, int]]) -> dict:
-    """What to take of a host's pages: ``regions`` (paths, with all below), ``own`` (paths whose own
-    text alone is taken) and ``constant`` (paths outside them).
-
-    ``slots``: for each path the different pages that have it, the different texts it takes on them,
-    the pages with its commonest text, and its characters on them. A path is constant if it has one
-    text on three pages at least, or the commonest on nine of ten and ten pages a text (a template
-    that some pages cut off): groups of copies alone make no path constant. If nothing varies,
-    nothing tells template from content, and no path is constant.
-
-    Without article or main node, the search goes down into a child that holds 70% of the varying
-    text of its parent. Its siblings that have varying text are searched in the same way, so no
-    varying text is left out but furniture; constant siblings are. With less than 70% in any child,
-    the whole node is a region.
-    """
-    constant = sorted(p for p, (n, texts, top, _) in slots.items() if n >= 3 and (texts == 1 or 10 * texts <= n and 10 * top >= 9 * n))
-    regions: list[str] = []
-
-    def named(node: list, path: str) -> None:
-        for child in node[2]:
-            here = f"{path}/{child[0]}"
-            if furniture(child[0]):
-                continue
-            tag, *words = child[0].split(".")
-            if (tag in ("article", "main") or "main" in words and tag == "div") and 2 * child[1] >= template[1]:
-                inner = len(regions)
-                named(child, here)  # an article inside main is the narrower region
-                if len(regions) == inner:
-                    regions.append(here)
-            else:
-                named(child, here)
 
-    named(template, "")
-    if regions:
-        return {"regions": regions, "own": [], "constant": constant}
+def _counts(tree: list) -> list[int]:
+    return [tree[2], *(n for x in tree[1] for n in _counts(x))]
 
-    fixed = set(constant)
 
-    def mass(node: list, path: str) -> int:
-        own = slots[path][3] if path in slots and path not in fixed else 0
-        return own + sum(mass(x, f"{path}/{x[0]}") for x in node[2] if not furniture(x[0]))
+def pruned(tree: list, most: int = MAX_NODES) -> list:
+    """The template with its ``most`` most frequent nodes, the first of equally frequent ones; a node
+    never outlives its parent."""
+    counts = sorted(_counts(tree), reverse=True)
+    if len(counts) <= most:
+        return tree
+    least = counts[most - 1]
+    ties = most - sum(n > least for n in counts)
 
-    own: list[str] = []
+    def keep(node: list) -> list:
+        nonlocal ties
+        children = []
+        for child in node[1]:
+            if child[2] == least:
+                ties -= 1
+            if child[2] > least or child[2] == least and ties >= 0:
+                children.append(keep(child))
+        return [node[0], children, node[2]]
 
-    def descend(node: list, path: str) -> None:
-        inner = [(mass(x, f"{path}/{x[0]}"), x) for x in node[2] if not furniture(x[0])]
-        heaviest = max(inner, key=lambda x: x[0], default=(0, None))
-        # a node that only repeats text blocks is left to its parent, whose headings belong to it
-        if heaviest[1] is None or not heaviest[1][2] or 10 * heaviest[0] < 7 * mass(node, path):
-            regions.append(path)
-            return
-        if path in slots and path not in fixed:
-            own.append(path)
-        for chars, child in inner:  # what varies beside the heaviest is content too
-            if chars:
-                descend(child, f"{path}/{child[0]}")
+    ties -= tree[2] == least
+    return keep(tree)
 
-    if not mass(template, ""):
-        return {"regions": [], "own": [], "constant": []}
-    descend(template, "")
-    return {"regions": regions, "own": own, "constant": constant}
 
+def aligned(template: list, shape: list) -> list[int]:
+    """For each flow node of a shape, the number of its flow node in the template, -1 if it has none."""
+    number = {id(node): n for n, (_, node) in enumerate(flow_nodes(template))}
+    out: list[int] = []
 
-def main_text(page: str, wrapper: dict | None) -> str:
-    """The blocks of the wrapper's regions, joined by two line feeds.
+    def walk(a: list | None, b: list) -> None:
+        below = dict((j, i) for i, j in matching(a, b)[1]) if a is not None else {}
+        for j, child in enumerate(b[1]):
+            other = a[1][below[j]] if j in below else None
+            if child[0] == "#":
+                out.append(number[id(other)] if other is not None else -1)
+            else:
+                walk(other, child)
 
-    A page without any of the regions, and pages without wrapper, give all blocks that aren't
-    furniture; there, constant nodes are template.
-    """
-    every = blocks(page)
-    wrapper = wrapper or {"regions": [], "own": [], "constant": []}
-    taken, found = [], False
-    for path, text in every:
-        joined = "".join(f"/{x}" for x in path)
-        region = next((r for r in wrapper["regions"] if r and (joined == r or joined.startswith(r + "/"))), joined if joined in wrapper["own"] else None)
-        if region is None:
-            continue
-        found = True
-        outer = region.count("/")
-        if any(furniture(x) for x in path[:outer]) or any(furniture(x, inside=True) for x in path[outer:]):
-            continue
-        taken.append(text)
-    if not found:
-        constant = set(wrapper["constant"])
-        taken = [text for path, text in every if not any(furniture(x) for x in path) and "".join(f"/{x}" for x in path) not in constant]
-    return "\n\n".join(taken)
+    walk(template, shape)
+    return out
 
 
-def _shapes(batches):
-    """Rows (host, html) -> (host, shape, slots, page): the page's tree, digest and length of the text of each path outside furniture, and a digest of all these."""
-    for batch in batches:
-        shapes, slots, digests = [], [], []
-        pages = batch.column("html")
-        for at in range(0, len(pages), 64):
-            for page in pages.slice(at, 64).to_pylist():
-                texts: dict[str, list[str]] = {}
-                every = blocks(page)
-                for path, text in every:
-                    if not any(furniture(x) for x in path):
-                        texts.setdefault("".join(f"/{x}" for x in path), []).append(text)
-                shapes.append(json.dumps(tree_of(p for p, _ in every), separators=(",", ":")))
-                slots.append([{"path": p, "digest": hashlib.blake2b("\n".join(t).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest(), "chars": sum(map(len, t))} for p, t in texts.items()])
-                digests.append(hashlib.blake2b("\n".join(f"{x['path']} {x['digest']}" for x in sorted(slots[-1], key=lambda x: x["path"])).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
-        kind = pa.list_(pa.struct([("path", pa.string()), ("digest", pa.string()), ("chars", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(shapes, pa.string()), pa.array(slots, kind), pa.array(digests, pa.string())], names=["host", "shape", "slots", "page"])
+SHARES = 16
+_RUN = "host string, share int, shape string, n long"
 
 
 def _merge_runs(batches):
-    """Rows (host, share, shape, n) sorted by (host, share) -> one merged tree each, n summed."""
+    """Rows (host, share, shape, n) sorted by (host, share) -> one template each. Rows with n 0 are
+    templates already."""
     at, tree = None, None
-    out: list[tuple] = []
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*at, json.dumps(tree, separators=(",", ":")), 0), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["host", "share", "shape", "n"])
+
     for batch in batches:
         for host, share, shape, n in zip(*(batch.column(c).to_pylist() for c in ("host", "share", "shape", "n")), strict=True):
-            own = weighted(json.loads(shape), n)
+            own = weighted(json.loads(shape), n) if n else json.loads(shape)
             if (host, share) != at:
                 if at is not None:
-                    out.append((*at, json.dumps(tree, separators=(",", ":")), 1))
+                    yield out()
                 at, tree = (host, share), own
             else:
-                tree = merged(tree, own)
+                tree = pruned(merged(tree, own))
     if at is not None:
-        out.append((*at, json.dumps(tree, separators=(",", ":")), 1))
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["host", "share", "shape", "n"])
-
-
-SHARES = 16
-
+        yield out()
 
-def induce_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): the wrapper of each host as JSON, learnt from all its pages."""
-    spark = pages.sparkSession
-    parts = partitions(spark)
-    plain = pages.select(url_host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    seen = materialise(plain.mapInArrow(_shapes, "host string, shape string, slots array<struct<path: string, digest: string, chars: long>>, page string"), "page-shapes")
 
-    run = "host string, share int, shape string, n long"
-    shapes = seen.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.pmod(F.xxhash64("shape"), F.lit(SHARES)).cast("int")).select("host", "share", "shape", "n")
-    shared = shapes.repartition(parts, "host", "share").sortWithinPartitions("host", "share", "shape").mapInArrow(_merge_runs, run)
-    whole = shared.withColumn("share", F.lit(0)).repartition(parts, "host").sortWithinPartitions("host", "share", "shape").mapInArrow(_merge_runs, run)
-
-    different = seen.select("host", "page", "slots").dropDuplicates(["host", "page"])
-    texts = different.select("host", F.explode("slots").alias("s")).groupBy("host", "s.path", "s.digest").agg(F.count(F.lit(1)).alias("n"), F.sum("s.chars").alias("chars"))
-    slots = texts.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.count(F.lit(1)).alias("texts"), F.max("n").alias("top"), F.sum("chars").alias("chars"))
-    by_host = slots.groupBy(F.col("host").alias("of_host")).agg(F.collect_list(F.struct("path", "pages", "texts", "top", "chars")).alias("slots"))
-
-    def choose(batches):
-        for batch in batches:
-            found = [json.dumps(content_region(json.loads(t), {x["path"]: (x["pages"], x["texts"], x["top"], x["chars"]) for x in s or []})) for t, s in zip(batch.column("shape").to_pylist(), batch.column("slots").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.string())], names=["host", "wrapper"])
-
-    chosen = whole.join(by_host, F.col("host") == F.col("of_host"), "left").select("host", "shape", "slots")
-    return materialise(chosen.mapInArrow(choose, "host string, wrapper string"), "wrappers")
-
-
-def _extract(batches):
-    wrappers: dict[str, dict] = {}
+def _align_runs(batches):
+    """Rows (host, share, shape, n, shape_id) sorted by (host, share, n), a template (n 0) first ->
+    (host, shape_id, slots, places) of the shapes."""
+    template = None
     for batch in batches:
-        texts = []
-        pages, own = batch.column("html"), batch.column("wrapper")
-        for at in range(0, len(pages), 64):
-            for page, wrapper in zip(pages.slice(at, 64).to_pylist(), own.slice(at, 64).to_pylist(), strict=True):
-                if wrapper not in wrappers:
-                    if len(wrappers) > 1000:
-                        wrappers.clear()
-                    wrappers[wrapper] = json.loads(wrapper) if wrapper else None
-                texts.append(main_text(page, wrappers[wrapper]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
-        )
-
-
-def extract_main_text(pages: DataFrame) -> DataFrame:
+        rows = []
+        for shape, n, shape_id, host in zip(*(batch.column(c).to_pylist() for c in ("shape", "n", "shape_id", "host")), strict=True):
+            tree = json.loads(shape)
+            if not n:
+                template = tree
+            else:
+                rows.append((host, shape_id, aligned(template, tree), [place_of(p) for p, _ in flow_nodes(tree)]))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], names=["host", "shape_id", "slots", "places"])
+
+
+def align_hosts(parsed: DataFrame, templates: bool = True) -> DataFrame:
+    """(host, shape_id, slots, places): for each different tree of a host, and each of its flow nodes,
+    the slot in the host's template, and :func:`place_of` its path. Without ``templates`` no node is
+    aligned, as if each page were a host of its own."""
+    parts = partitions(parsed.sparkSession)
+    shapes = parsed.groupBy("host", "shape_id").agg(F.first("shape").alias("shape"), F.count(F.lit(1)).alias("n"))
+    shapes = materialise(shapes.withColumn("share", F.pmod(F.xxhash64("shape_id"), F.lit(SHARES)).cast("int")), "page-shapes")
+    rows = shapes.select("host", "share", "shape", "n")
+    shared = rows.repartition(parts, "host", "share").sortWithinPartitions("host", "share", "shape").mapInArrow(_merge_runs, _RUN)
+    whole = shared.withColumn("share", F.lit(0)).repartition(parts, "host").sortWithinPartitions("host", "share", "shape").mapInArrow(_merge_runs, _RUN)
+    # a template meets its host's trees in front of them, once for each share, and is copied to no row
+    first = whole.select("host", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"), "shape" if templates else F.lit('["",[],0]').alias("shape"), "n", F.lit(None).cast("binary").alias("shape_id"))
+    both = first.unionByName(shapes).repartition(parts, "host", "share").sortWithinPartitions("host", "share", "n", "shape_id")
+    return materialise(both.mapInArrow(_align_runs, "host string, shape_id binary, slots array<int>, places array<int>"), "page-slots")
+
+
+def induce_wrappers(parsed: DataFrame, templates: bool = True) -> DataFrame:
+    """(host, shape_id, kept, constant): of each different tree of a host the flow nodes whose text is
+    content, and hashes of (node, text) of the constant texts in them. Learnt from all pages."""
+    slots = align_hosts(parsed, templates)
+    # pages with the same long texts count once: copies of an article make it no template
+    different = parsed.select("host", "page", "shape_id", "blocks").dropDuplicates(["host", "page"])
+    block = different.select("host", "shape_id", "page", F.explode("blocks").alias("b"))
+    texts = block.groupBy("host", "shape_id", "b.node", F.xxhash64("b.text").alias("h")).agg(F.count_distinct("page").alias("n"), F.sum(F.char_length("b.text")).alias("chars"))
+    texts = materialise(texts, "page-texts")
+    having = materialise(different.groupBy("host", "shape_id").agg(F.count(F.lit(1)).alias("n")), "page-counts")
+    nodes = slots.select("host", "shape_id", F.posexplode(F.arrays_zip("slots", "places")).alias("node", "x")).select("host", "shape_id", "node", F.col("x.slots").alias("slot"), F.col("x.places").alias("place"))
+    nodes = materialise(nodes, "page-nodes")
+
+    in_slot = texts.join(by_size(nodes, 128), ["host", "shape_id", "node"])
+    slot_pages = nodes.where("slot >= 0").join(having, ["host", "shape_id"]).groupBy("host", "slot").agg(F.sum("n").alias("pages"))
+    counted = in_slot.where("slot >= 0").groupBy("host", "slot", "h").agg(F.sum("n").alias("n")).join(slot_pages, ["host", "slot"])
+    constant = counted.where(f"n >= {ALL_PAGES} and n >= pages or pages >= {MOST_PAGES} and 10 * n >= 9 * pages").select("host", "slot", "h")
+    constant = materialise(constant, "page-constants")
+
+    fixed = in_slot.join(by_size(constant, 64), ["host", "slot", "h"], "left_semi")
+    hashes = fixed.groupBy("host", "shape_id").agg(F.collect_set(F.xxhash64("node", "h")).alias("constant"))
+    varying = in_slot.join(by_size(constant, 64), ["host", "slot", "h"], "left_anti").groupBy("host", "place").agg(F.sum("chars").alias("chars"))
+    mass = lambda place: F.coalesce(F.sum(F.when(F.col("place") == place, F.col("chars"))), F.lit(0))
+    of_host = varying.groupBy("host").agg((mass(MAIN) >= mass(PLAIN)).alias("in_main"))
+
+    chosen = slots.join(of_host, "host", "left").join(hashes, ["host", "shape_id"], "left")
+    only_main = F.coalesce("in_main", F.lit(True)) & F.array_contains("places", MAIN)
+    least = F.when(only_main, F.lit(MAIN)).otherwise(F.lit(PLAIN))
+    kept = F.transform("places", lambda p: (p == MAIN) | (p >= least))
+    return materialise(chosen.select("host", "shape_id", kept.alias("kept"), "constant"), "wrappers")
+
+
+def extract_main_text(pages: DataFrame, templates: bool = True) -> DataFrame:
     """One row for each row of ``pages``: page_id, url, text, n_chars.
 
     ``text`` is the main text: its blocks in page order, joined by two line feeds; n_chars its code
     points. Null and empty html give an empty text. Pages whose URL is null or has no host share a
     wrapper of their own. Null page_ids and repeated rows stay; no rows give no rows. Columns other
-    than page_id, url and html are ignored.
+    than page_id, url and html are ignored. Pages may be nested to any depth.
 
-    Wrappers are one small row a host; Spark broadcasts them below its threshold and else splits
-    the pages of large hosts.
+    Wrappers are one small row for each different tree of a host; they are broadcast only if they
+    are known to be small, and else Spark splits the pages of large hosts. ``templates`` false
+    switches alignment off.
     """
-    wrappers = induce_wrappers(pages)
-    plain = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), url_host(F.col("url")).alias("own_host"))
-    joined = plain.join(wrappers, F.col("own_host") == F.col("host"), "left").select("page_id", "url", "html", "wrapper")
+    plain = pages.select("page_id", "url", F.coalesce(url_host(F.col("url")), F.lit("")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
+    parsed = materialise(plain.mapInArrow(_parse, f"page_id {kind}, url string, host string, {_PARSED}"), "page-blocks")
+    wrappers = induce_wrappers(parsed, templates)
+    joined = parsed.select("page_id", "url", "host", "shape_id", "blocks").join(by_size(wrappers, 1024), ["host", "shape_id"], "left")
+    fixed = lambda b: F.coalesce(F.array_contains("constant", F.xxhash64(b["node"], F.xxhash64(b["text"]))), F.lit(False))
+    titles = lambda b, i: b["heading"] & F.get("blocks", i + 1)["node"].eqNullSafe(b["node"])
+    content = F.filter("blocks", lambda b, i: F.get("kept", b["node"]) & (~fixed(b) | titles(b, i)))
+    text = F.array_join(F.transform(content, lambda b: b["text"]), "\n\n")
+    return joined.select("page_id", "url", F.coalesce(text, F.lit("")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def op2_html_extract(spark, sf_dir: str) -> DataFrame:

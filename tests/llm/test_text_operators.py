@@ -106,12 +106,62 @@ def test_copies_of_an_article_stay_content(spark, dated):
     assert got == {i: f"{date(i)}\n\nBody {of(i)} with many more words than the rest of the page has\n\nAnd {of(i)}" for i in range(10)}
 
 
+def tree(*paths):
+    """[label, children, 1] of paths; a path in brackets of numbers tells siblings of one label apart."""
+    root = ["", [], 1]
+    for path in paths:
+        node = root
+        for label in path.split("/"):
+            if not node[1] or node[1][-1][0] != label:
+                node[1].append([label, [], 1])
+            node = node[1][-1]
+    return root
+
+
 def test_tree_matching_aligns_siblings():
-    tree = lambda *paths: html_extract.tree_of([p.split("/") for p in paths])
-    a, b = tree("body/nav", "body/div/p", "body/footer"), tree("body/div/h1", "body/aside", "body/footer", "body/nav")
-    assert html_extract.matching(a, b)[0] == 4
-    both = html_extract.merged(a, b)
-    assert {x[0]: x[1] for x in both[2][0][2]} == {"nav": 2, "div": 2, "aside": 1, "footer": 2}
+    a, b = tree("body/div/p", "body/nav", "body/div/h1", "body/footer"), tree("body/nav", "body/div/h1", "body/aside", "body/footer")
+    assert html_extract.matching(a, b)[0] == 6  # root, body, nav, the second div, its h1, footer
+    both = html_extract.merged(a, b)[1][0][1]
+    assert [(x[0], x[2]) for x in both] == [("div", 1), ("nav", 2), ("div", 2), ("aside", 1), ("footer", 2)]
+    assert [x[0] for x in html_extract.pruned(html_extract.merged(a, b), 6)[1][0][1]] == ["nav", "div", "footer"]
+    assert html_extract.pruned(a, 4) == tree("body/div/p")
+
+
+LAYOUT = "<body>%s<nav>menu</nav><div><h1>Title %d</h1><p>Text %d of the page, which has some words</p><p>Subscribe to our letter today</p></div></body>"
+
+
+def test_alignment_decides_the_text(spark):
+    """Constant texts are template inside the article's node too; a notice on a quarter of the pages
+    stands in a slot of its own, though its path is the content's."""
+    notice = "<div><p>We use a notice on some pages</p></div>"
+    rows = [(i, "http://slots.org/x", LAYOUT % (notice if i % 4 == 0 else "", i, i)) for i in range(24)]
+    pages = pages_of(spark, rows)
+    body = lambda i: f"Title {i}\n\nText {i} of the page, which has some words"
+    assert {r.page_id: r.text for r in html_extract.extract_main_text(pages).collect()} == {i: body(i) for i in range(24)}
+    off = {r.page_id: r.text for r in html_extract.extract_main_text(pages, templates=False).collect()}
+    assert off == {i: ("We use a notice on some pages\n\n" if i % 4 == 0 else "") + body(i) + "\n\nSubscribe to our letter today" for i in range(24)}
+
+
+def test_constant_texts_inside_articles_go(spark):
+    page = "<body><article><p>Subscribe for more of this</p><h1>Head %d</h1><p>Story %d</p></article><div>beside %d</div></body>"
+    rows = [(i, "http://art.org/x", page % (i, i, i)) for i in range(5)]
+    assert {r.page_id: r.text for r in html_extract.extract_main_text(pages_of(spark, rows)).collect()} == {i: f"Head {i}\n\nStory {i}" for i in range(5)}
+
+
+def test_odd_markup(spark):
+    pages = {
+        "<article><a title=it's>linked</a> text <b class=x's id=y>more</b></article>": "linked text more",
+        "<p>Formula <math><mi>E</mi></math> = end <object>o</object><audio>a</audio></p><dialog>d</dialog>": "Formula E = end oa\n\nd",
+        '<article><div class="social-history"><p>chapter</p></div><div class="related-posts">links</div><div class="searchForm">find</div></article>': "chapter",
+        '<p title="a>b" data-x=\'c>d\'>quoted</p><p title="open>cut': "quoted\n\ncut",
+        "<p>one</p></div></section><p>two": "one\n\ntwo",
+        "x" + "<div>" * 10_000 + "deep" + "</div>" * 10_000 + "<p>end": "x\n\ndeep\n\nend",
+        "<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>": "a\n\nb\n\nc\n\nd",
+        '<p ="="="' + "=" * 50_000: "",
+    }
+    rows = [(i, f"http://odd{i}.org/", h) for i, h in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(pages_of(spark, rows)).collect()}
+    assert got == dict(enumerate(pages.values()))
 
 
 # ---------------------------------------------------------------- URLs
