@@ -110,6 +110,43 @@ def test_stop_depth_reaches_recall():
     assert 1 - (1 - 0.8**depth) ** near_dedup.TREES >= near_dedup.RECALL > 1 - (1 - 0.8 ** (depth + 1)) ** near_dedup.TREES
 
 
+def test_stop_depths_follow_what_a_size_allows():
+    depths = near_dedup.stop_depths(0.8, near_dedup.TREES, near_dedup.RECALL)
+    assert depths[1:4] == (9, 9, 9)  # sets of one to three shingles have no other neighbour than copies
+    assert depths[4] == near_dedup.stop_depth(0.8) and depths[6] == near_dedup.stop_depth(5 / 6) > depths[-1]
+
+
+def test_labels_are_tries_of_minhashes():
+    values = np.random.default_rng(2).integers(0, 1 << 62, 100, dtype=np.uint64)
+    sets = [values, values[3:]]
+    marks = near_dedup.labels(np.concatenate(sets), np.array([0, 100, 197]), 16)
+    depth = near_dedup.common_depth(marks[0], marks[1])
+    by_hand = []
+    for a, b in zip(marks[0], marks[1], strict=True):
+        each = lambda x: [int(h) >> s & 0xFFFF for h in x for s in (48, 32, 16, 0)]
+        by_hand.append(next((i for i, (v, w) in enumerate(zip(each(a), each(b), strict=True)) if v != w), 8))
+    assert depth.tolist() == by_hand and max(by_hand) == 8
+
+
+def test_recall_at_the_threshold():
+    """Pairs whose similarity is just the threshold: nearly all agree in a prefix and in enough values."""
+    rng, found, n = np.random.default_rng(1), 0, 300
+    for _ in range(n):
+        common, own = rng.integers(0, 1 << 62, 80, dtype=np.uint64), rng.integers(0, 1 << 62, 20, dtype=np.uint64)
+        a, b = np.concatenate([common, own[:10]]), np.concatenate([common, own[10:]])
+        marks = near_dedup.labels(np.concatenate([a, b]), np.array([0, 90, 180]), near_dedup.TREES)
+        deep = near_dedup.common_depth(marks[0], marks[1]).max() >= near_dedup.stop_depth()
+        sizes, stops = np.array([90, 90]), np.full(2, near_dedup.stop_depth())
+        found += deep and near_dedup.plausible(0, near_dedup.stop_depth(), np.zeros(2), marks, sizes, stops, 0.8).all() or deep and (near_dedup.common_depth(marks[0], marks[1])[:1] == 0).all()
+    assert found >= 0.99 * n
+    assert 60 < near_dedup.least_agreeing(0.8, 128) < 102
+
+
+def test_clashing_columns(spark):
+    docs = docs_of(spark, corpus()[:40]).withColumnsRenamed({"key": "__gone", "labels": "of_id", "block": "of_digest"})
+    assert near_dedup.one_of_each_class(docs).columns == docs.columns
+
+
 def test_shared_sizes_agree():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 300, 200).astype(np.uint64)) for _ in range(20)]
