@@ -163,7 +163,7 @@ def test_components_of_a_long_chain(spark):
 
 
 def leak_rows():
-    items = [(0, " ".join(words(20, 500))), (1, " ".join(words(59, 501))), (2, " ".join(words(6, 502))), (3, "too short to count"), (4, None), (5, ""), (8, "a\u00a0b\u00a0c\u00a0d\u00a0e"), (6, " ".join(words(14, 503))), (7, " ".join(words(200, 504)))]
+    items = [(0, " ".join(words(20, 500))), (1, " ".join(words(59, 501))), (2, " ".join(words(6, 502))), (3, "two words"), (4, None), (5, ""), (8, "a\u00a0b\u00a0c\u00a0d\u00a0e"), (6, " ".join(words(14, 503))), (7, " ".join(words(200, 504)))]
     rng, docs = random.Random(9), []
     for i in range(60):
         body = words(rng.choice([0, 3, 50, 3000]), 1000 + i)
@@ -181,14 +181,57 @@ def test_contaminations(spark):
     rows, items = leak_rows()
     got = decontamination.contaminations(docs_of(spark, rows), spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")).collect()
     wanted = []
-    item_sets = {i: s for (i, _), s in zip(items, shingle_sets(items), strict=True) if len(next(iter(s), ())) == 5}
-    for (doc_id, _), own in zip(rows, shingle_sets(rows), strict=True):
+    item_sets = {i: s for (i, _), s in zip(items, shingle_sets(items), strict=True) if s}
+    for (doc_id, text), every in zip(rows, shingle_sets(rows), strict=True):
         for i, s in item_sets.items():
+            k = len(next(iter(s)))
+            own = every
+            if k < 5:
+                w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+                own = set(zip(*[w[n:] for n in range(k)], strict=False))
             if len(own & s) >= 0.8 * len(s) - 1e-9:
                 wanted.append((doc_id, i, len(s), len(own & s), len(own & s) / len(s)))
     assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, wanted)) and wanted
 
 
+def test_contaminations_match_sql(spark):
+    import duckdb
+
+    rows, items = leak_rows()
+    rows = [*rows, (200, "here Two  words here"), (201, "two"), (202, "one word"), (203, "words two")]
+    items = [*items, (20, "word"), (21, "one two three"), (22, "two  WORDS")]
+    con = duckdb.connect()
+    documents, benchmark = docs_of(spark, rows).select("doc_id", "text"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contaminations(documents, benchmark).collect()
+    con.register("documents", documents.toArrow())
+    con.register("benchmark", benchmark.toArrow())
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, con.sql(decontamination.ORACLE).fetchall()))
+    assert {(200, 3), (200, 22), (202, 20)} <= {(r.doc_id, r.item_id) for r in got} and not {201, 203} & {r.doc_id for r in got}
+
+
+@pytest.mark.parametrize("parts", [2, 4, 8])
+def test_recall_of_strewn_items(spark, parts):
+    """Items cut into parts that stand far from each other: all of them are found."""
+    items = [(i, " ".join(words(150 + 7 * i, 9000 + i))) for i in range(40)]
+    docs = []
+    for i, text in items:
+        own, body = text.split(), words(6000, 20_000 + i)
+        for n in range(parts):
+            at = n * len(body) // parts + 100
+            body[at:at] = own[n * len(own) // parts : (n + 1) * len(own) // parts]
+        docs.append((i, " ".join(body)))
+    sets = {i: s for (i, _), s in zip(items, shingle_sets(items), strict=True)}
+    wanted = {i for (i, _), s in zip(docs, shingle_sets(docs), strict=True) if len(s & sets[i]) >= 0.8 * len(sets[i]) - 1e-9}
+    got = {r.doc_id for r in decontamination.contaminations(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(wanted) >= 35 and got == wanted
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("d1", "a b c d e f g"), ("d2", None)], "doc_id string, text string")
+    items = spark.createDataFrame([("x", "B c d e f"), (None, "f g")], "item_id string, text string")
+    assert sorted((r.doc_id, r.item_id or "", r.containment) for r in decontamination.contaminations(docs, items).collect()) == [("d1", "", 1.0), ("d1", "x", 1.0)]
+
+
 def test_contaminations_in_blocks(spark, monkeypatch):
     rows, items = leak_rows()
     table = spark.createDataFrame(items, "item_id long, text string")
