@@ -43,7 +43,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.parquet(at, compression="zstd")
     return spark.read.schema(df.schema).parquet(at)
 
 

@@ -270,7 +270,12 @@ def place_of(path: tuple) -> int:
     return MAIN if inside else PLAIN
 
 
-def page_blocks(page: str) -> tuple[str, list[tuple[int, str, bool]], bytes]:
+def number_of(text: str) -> int:
+    """A 64-bit digest."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def page_blocks(page: str) -> tuple[str, list[tuple[int, str, bool]], int]:
     """(shape, (flow node, text, heading) in page order, digest of the three longest texts outside
     furniture)."""
     root, texts, headings = parse(page)
@@ -283,11 +288,11 @@ def page_blocks(page: str) -> tuple[str, list[tuple[int, str, bool]], bytes]:
         if place_of(path) != FURNITURE:
             content += [texts[i] for i in node[2]]
     longest = sorted(content, key=lambda t: (-len(t), t))[:3]
-    own = hashlib.blake2b("\n".join(longest).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    own = number_of("\n".join(longest))
     return json.dumps(shape_of(tree), separators=(",", ":")), list(zip(nodes, texts, headings, strict=True)), own
 
 
-_PARSED = "shape string, shape_id binary, page binary, blocks array<struct<node: int, text: string, heading: boolean>>"
+_PARSED = "shape string, shape_id long, page long, blocks array<struct<node: int, text: string, heading: boolean>>"
 
 
 def _parse(batches):
@@ -302,8 +307,8 @@ def _parse(batches):
                 shapes.append(shape)
                 digests.append(digest)
                 blocks.append([{"node": n, "text": t, "heading": h} for n, t, h in own])
-            ids = [hashlib.blake2b(x.encode(), digest_size=16).digest() for x in shapes]
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(shapes), pa.array(ids, pa.binary()), pa.array(digests, pa.binary()), pa.array(blocks, kind)], names=[*part.schema.names[:-1], "shape", "shape_id", "page", "blocks"])
+            ids = [number_of(f"{h} {x}") for h, x in zip(part.column("host").to_pylist(), shapes, strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(shapes, pa.string()), pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(blocks, kind)], names=[*part.schema.names[:-1], "shape", "shape_id", "page", "blocks"])
 
 
 def matching(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
@@ -429,7 +434,7 @@ def _align_runs(batches):
             else:
                 rows.append((host, shape_id, aligned(template, tree), [place_of(p) for p, _ in flow_nodes(tree)]))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], names=["host", "shape_id", "slots", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], names=["host", "shape_id", "slots", "places"])
 
 
 def align_hosts(parsed: DataFrame, templates: bool = True) -> DataFrame:
@@ -443,41 +448,41 @@ def align_hosts(parsed: DataFrame, templates: bool = True) -> DataFrame:
     shared = rows.repartition(parts, "host", "share").sortWithinPartitions("host", "share", "shape").mapInArrow(_merge_runs, _RUN)
     whole = shared.withColumn("share", F.lit(0)).repartition(parts, "host").sortWithinPartitions("host", "share", "shape").mapInArrow(_merge_runs, _RUN)
     # a template meets its host's trees in front of them, once for each share, and is copied to no row
-    first = whole.select("host", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"), "shape" if templates else F.lit('["",[],0]').alias("shape"), "n", F.lit(None).cast("binary").alias("shape_id"))
+    first = whole.select("host", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"), "shape" if templates else F.lit('["",[],0]').alias("shape"), "n", F.lit(None).cast("long").alias("shape_id"))
     both = first.unionByName(shapes).repartition(parts, "host", "share").sortWithinPartitions("host", "share", "n", "shape_id")
-    return materialise(both.mapInArrow(_align_runs, "host string, shape_id binary, slots array<int>, places array<int>"), "page-slots")
+    return materialise(both.mapInArrow(_align_runs, "host string, shape_id long, slots array<int>, places array<int>"), "page-slots")
 
 
 def induce_wrappers(parsed: DataFrame, templates: bool = True) -> DataFrame:
-    """(host, shape_id, kept, constant): of each different tree of a host the flow nodes whose text is
+    """(shape_id, kept, constant): of each different tree of a host the flow nodes whose text is
     content, and hashes of (node, text) of the constant texts in them. Learnt from all pages."""
     slots = align_hosts(parsed, templates)
-    # pages with the same long texts count once: copies of an article make it no template
-    different = parsed.select("host", "page", "shape_id", "blocks").dropDuplicates(["host", "page"])
-    block = different.select("host", "shape_id", "page", F.explode("blocks").alias("b"))
-    texts = block.groupBy("host", "shape_id", "b.node", F.xxhash64("b.text").alias("h")).agg(F.count_distinct("page").alias("n"), F.sum(F.char_length("b.text")).alias("chars"))
-    texts = materialise(texts, "page-texts")
-    having = materialise(different.groupBy("host", "shape_id").agg(F.count(F.lit(1)).alias("n")), "page-counts")
+    # pages with the same long texts count once: copies of an article make it no template. A tree's id
+    # is of its host, and only hashes of texts are shuffled
+    block = parsed.select("shape_id", "page", F.explode("blocks").alias("b")).select("shape_id", "page", "b.node", F.xxhash64("b.text").alias("h"), F.char_length("b.text").alias("chars"))
+    once = block.groupBy("shape_id", "node", "h", "page").agg(F.max("chars").alias("chars"))
+    texts = materialise(once.groupBy("shape_id", "node", "h").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")), "page-texts")
+    having = parsed.select("shape_id", "page").distinct().groupBy("shape_id").agg(F.count(F.lit(1)).alias("n"))
     nodes = slots.select("host", "shape_id", F.posexplode(F.arrays_zip("slots", "places")).alias("node", "x")).select("host", "shape_id", "node", F.col("x.slots").alias("slot"), F.col("x.places").alias("place"))
     nodes = materialise(nodes, "page-nodes")
 
-    in_slot = texts.join(by_size(nodes, 128), ["host", "shape_id", "node"])
-    slot_pages = nodes.where("slot >= 0").join(having, ["host", "shape_id"]).groupBy("host", "slot").agg(F.sum("n").alias("pages"))
+    in_slot = texts.join(by_size(nodes, 128), ["shape_id", "node"])
+    slot_pages = nodes.where("slot >= 0").join(having, "shape_id").groupBy("host", "slot").agg(F.sum("n").alias("pages"))
     counted = in_slot.where("slot >= 0").groupBy("host", "slot", "h").agg(F.sum("n").alias("n")).join(slot_pages, ["host", "slot"])
     constant = counted.where(f"n >= {ALL_PAGES} and n >= pages or pages >= {MOST_PAGES} and 10 * n >= 9 * pages").select("host", "slot", "h")
     constant = materialise(constant, "page-constants")
 
     fixed = in_slot.join(by_size(constant, 64), ["host", "slot", "h"], "left_semi")
-    hashes = fixed.groupBy("host", "shape_id").agg(F.collect_set(F.xxhash64("node", "h")).alias("constant"))
+    hashes = fixed.groupBy("shape_id").agg(F.collect_set(F.xxhash64("node", "h")).alias("constant"))
     varying = in_slot.join(by_size(constant, 64), ["host", "slot", "h"], "left_anti").groupBy("host", "place").agg(F.sum("chars").alias("chars"))
     mass = lambda place: F.coalesce(F.sum(F.when(F.col("place") == place, F.col("chars"))), F.lit(0))
     of_host = varying.groupBy("host").agg((mass(MAIN) >= mass(PLAIN)).alias("in_main"))
 
-    chosen = slots.join(of_host, "host", "left").join(hashes, ["host", "shape_id"], "left")
+    chosen = slots.join(of_host, "host", "left").join(hashes, "shape_id", "left")
     only_main = F.coalesce("in_main", F.lit(True)) & F.array_contains("places", MAIN)
     least = F.when(only_main, F.lit(MAIN)).otherwise(F.lit(PLAIN))
     kept = F.transform("places", lambda p: (p == MAIN) | (p >= least))
-    return materialise(chosen.select("host", "shape_id", kept.alias("kept"), "constant"), "wrappers")
+    return materialise(chosen.select("shape_id", kept.alias("kept"), "constant"), "wrappers")
 
 
 def extract_main_text(pages: DataFrame, templates: bool = True) -> DataFrame:
@@ -496,7 +501,7 @@ def extract_main_text(pages: DataFrame, templates: bool = True) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     parsed = materialise(plain.mapInArrow(_parse, f"page_id {kind}, url string, host string, {_PARSED}"), "page-blocks")
     wrappers = induce_wrappers(parsed, templates)
-    joined = parsed.select("page_id", "url", "host", "shape_id", "blocks").join(by_size(wrappers, 1024), ["host", "shape_id"], "left")
+    joined = parsed.select("page_id", "url", "shape_id", "blocks").join(by_size(wrappers, 1024), "shape_id", "left")
     fixed = lambda b: F.coalesce(F.array_contains("constant", F.xxhash64(b["node"], F.xxhash64(b["text"]))), F.lit(False))
     titles = lambda b, i: b["heading"] & F.get("blocks", i + 1)["node"].eqNullSafe(b["node"])
     content = F.filter("blocks", lambda b, i: F.get("kept", b["node"]) & (~fixed(b) | titles(b, i)))
