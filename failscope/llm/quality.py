@@ -31,9 +31,11 @@ FOLDS = 5
 
 FEATURES = (
     "log_bytes", "log_words", "upper_share", "digit_share", "symbol_share", "bang_share", "pipe_share", "punct_share", "mean_word", "distinct_words",
-    "plain_words", "symbol_words", "caps_words", "one_char_words", "top_words", "echo_words", "repeated_lines", "words_a_line", "worst_line", "packed", "packed_head_tail",
+    "plain_words", "symbol_words", "caps_words", "one_char_words", "top_words", "echo_words", "repeated_lines", "words_a_line", "worst_line", "packed", "worst_piece",
 )
 
+#: Bytes of the pieces whose worst compression counts; a last piece of less than half goes uncounted where there are others.
+PIECE = 2048
 #: Classes of bytes: white space, line feed, capital, small letter (and all beyond ASCII), digit, punctuation, symbol.
 _CLASS = bytearray(b"s" * 256)
 for _chars, _name in ((bytes(range(65, 91)), "U"), (bytes(range(97, 123)) + bytes(range(128, 256)), "l"), (b"0123456789", "d"), (b".,;:?'\"()-", "p"), (b" \t\x0b\x0c\r", " "), (b"\n", "\n")):
@@ -58,12 +60,11 @@ def text_features(text: str) -> list[float]:
     ends = [(x.count(b"s "), x.count(b" ")) for x in rows]
     counts = Counter(words)
     packed = len(zlib.compress(data, 1)) / size
-    edge = data[:512] + data[-512:]
     return [
         float(np.log1p(size)), float(np.log1p(n)), upper / max(1, upper + lower), kinds.count(b"d") / size, kinds.count(b"s") / size, data.count(b"!") / size, data.count(b"|") / size, kinds.count(b"p") / size,
         (size - n) / n, len(counts) / n, (flat.count(b"l ") + flat.count(b"U ")) / n, flat.count(b"s ") / n, flat.count(b" UU") / n, (flat.count(b" l ") + flat.count(b" U ") + flat.count(b" s ")) / n,
         sum(heapq.nlargest(8, counts.values())) / n, sum(map(eq, words, words[1:])) / n, 1 - len(set(lines)) / max(1, len(lines)), float(np.log1p(n / max(1, len(lines)))),
-        max((s / w for s, w in ends if w >= 3), default=0.0), packed, len(zlib.compress(edge, 1)) / len(edge),
+        max((s / w for s, w in ends if w >= 3), default=0.0), packed, max(len(zlib.compress(data[i : i + PIECE], 1)) / len(data[i : i + PIECE]) for i in range(0, max(1, size - PIECE // 2), PIECE)),
     ]
 
 
@@ -197,18 +198,20 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, se
     """Fits the model on the labelled documents that aren't held out, ``sample_rows`` at most.
 
     Labels: doc_id, quality; rows with a null in either are left out, and a doc_id that has several
-    labels takes their majority, 1 in a tie. The sample is the rows of the smallest hashes of doc_id.
+    labels takes their majority, 1 in a tie. The sample is the rows of the smallest hashes of doc_id. A doc_id
+    that stands on several rows of ``docs`` is learnt once, from the least of their feature rows.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold() != 0))
     usable = usable.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     sample = usable.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample_rows)
-    known = docs.sparkSession.createDataFrame(sample.collect(), "of_id long, y double")  # sample_rows at most
+    kind = labels.schema["doc_id"].dataType.simpleString()
+    known = docs.sparkSession.createDataFrame(sample.collect(), f"of_id {kind}, y double")  # sample_rows at most
     chosen = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(known), F.col("id") == F.col("of_id"))
-    rows = chosen.select("id", "y", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_feature_rows, "id long, y double, x array<double>")
-    got = rows.toArrow()
-    ids = got["id"].to_numpy()
-    order = np.argsort(ids, kind="stable")
-    x = got["x"].combine_chunks().flatten().to_numpy().reshape(len(ids), len(FEATURES)) if len(ids) else np.zeros((0, len(FEATURES)))
+    rows = chosen.select("of_id", "y", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_feature_rows, f"of_id {kind}, y double, x array<double>")
+    got = rows.groupBy("of_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).toArrow()  # a row a label, however often its doc_id stands in docs
+    ids = got["of_id"].to_pylist()
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    x = np.array(got["x"].to_pylist(), dtype=np.float64).reshape(len(ids), len(FEATURES))
     return fit(x[order], got["y"].to_numpy()[order])
 
 
