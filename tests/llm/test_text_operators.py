@@ -36,6 +36,29 @@ def test_quality_edge_cases(spark):
     assert quality.accepted(docs, labels).columns == docs.columns
 
 
+def test_scores_match_a_plain_loop(spark):
+    """Every document's score, added up value by value in Python from the model's tables."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(docs, labels)
+    assert quality.train(docs.repartition(5).unionAll(docs.limit(50)), labels) .start == model.start
+    for r, text in zip(quality.quality_scores(docs, model).orderBy("doc_id").collect(), [r.text for r in docs.orderBy("doc_id").collect()], strict=True):
+        x = quality.text_features(text or "")
+        bins = [sum(v > e for e in edges) for v, edges in zip(x, model.edges, strict=True)]
+        total = model.start
+        for table_, b in zip(model.tables, bins, strict=True):
+            total += table_[b]
+        for i, j, values in model.pairs:
+            total += values[bins[i]][bins[j]]
+        assert abs(r.score - 1 / (1 + np.exp(-total))) < 1e-12
+
+
+def test_quality_with_text_ids(spark):
+    docs = spark.createDataFrame([(f"d{i}", "plain words of a text " * (i % 5 + 1) if i % 2 else "$$ %% ## " * (i % 7 + 1)) for i in range(200)] * 2, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(200)], "doc_id string, quality int")
+    got = quality.quality_scores(docs, quality.train(docs, labels)).collect()
+    assert len(got) == 400 and all(r.predicted == int(r.doc_id[1:]) % 2 for r in got)
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 4))
@@ -172,10 +195,15 @@ def brute_rule(host, path, rules):
     return max(fits, default=(0, 0, 0, None, None))[3:]
 
 
+def listed_parts(line):
+    host, _, path = line.partition("/")
+    return host, "/" + path
+
+
 def test_url_rules(spark):
     urls = [
         "http://www.Example.com/en/1?x#y", "https://example.com/en/", "http://example.com/EN/", "http://a.net/es/x", "http://net/fr/", "http://xnet/es/", "http://b.net/de/", "http://q.org/", "http://spam-farm.example.org/a", "http://x.spam-farm.example.org/b",
-        "http://spam-farm.example.net/es/c", "http://com", "http://a.com?b=/c", "no scheme", None, "", "a://b://c/d", "http://deep.www.example.com/en/x/y", "http:///en/", "ftp://u@h.com:80/p", "http://a.net/es", "http://é.com/ü",
+        "http://spam-farm.example.net/es/c", "http://com", "http://a.com?b=/c", "no scheme", None, "", "a://b://c/d", "http://deep.www.example.com/en/x/y", "http:///en/", "ftp://u@h.com:80/p", "http://a.net/es", "http://é.com/ü", "http://spam-farm.example.org", "http://u:p@Spam-Farm.example.org:8080/x", "http://spam-farm.example.org./", "http://x.org@spam-farm.example.org/", "http://spam-farm.example.org.x.org/",
     ]
     rows = [(i, u, "h", "p") for i, u in enumerate(urls)] + [(0, urls[0], "h", "p"), (None, urls[3], "h", "p")]
     got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, host string, path string"), url_filter.query_entries(spark)).collect()
@@ -184,7 +212,7 @@ def test_url_rules(spark):
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
         host, path = (re.sub("[A-Z]", lambda c: c.group().lower(), m.group(1)), m.group(2)) if m else ("", "")
         rule, verdict = brute_rule(host, path, url_filter.RULES)
-        listed = brute_rule(host, path, [(f"{s}.{z}", "/", "block") for s in url_filter.LISTED_SITES for z in url_filter.LISTED_ZONES])[1]
+        listed = brute_rule(*url_filter.canonical(host, path), [(*listed_parts(x), "block") for x in url_filter.LIST_FILE.read_text().splitlines()[1:]])[1]
         wanted.append((i, host, path, rule, verdict or listed or "allow", rule is None and listed is not None))
     assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, wanted))
 
@@ -198,6 +226,32 @@ def test_url_filter_has_no_false_negatives(spark):
     assert {r.verdict for r in url_filter.judge_urls(pages, entries.where("false")).collect()} == {"allow"}
 
 
+def test_canonical_urls():
+    for url, form in {
+        ("a.b", ""): ("a.b", "/"), ("u:p@a.b:80", "/x"): ("a.b", "/x"), ("a.b..", "/a/./b/../c"): ("a.b", "/a/c"), ("a", "/a/.."): ("a", "/"), ("a", "/b/c/.."): ("a", "/b/"), ("a", "/../../x"): ("a", "/x"),
+        ("a", "/%7e%41%2f%c3%a9%zz"): ("a", "/~A%2F%C3%A9%zz"), ("a:", "/x.y/..z"): ("a", "/x.y/..z"),
+    }.items():
+        assert url_filter.canonical(*url) == form == url_filter.canonical(*form)
+
+
+def test_a_list_of_thousands(spark):
+    lines = [f"s{i}.org/{'dir/' if i % 3 else ''}" for i in range(20_000)] + ["", "# no entry", "S1.org./dir/"]
+    entries = url_filter.listed_entries(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert entries.count() == 20_000
+    urls = [f"http://www.s{i}.org:80/{'a/../dir/%70' if i % 2 else ''}" for i in range(0, 40_000, 7)] + ["http://" + "l." * 30_000 + "s0.org/" + "p/" * 30_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages, entries).collect()}
+    hit = lambda i: i < 20_000 and (i % 2 == 1 or i % 3 == 0)
+    assert got == {n: "block" if n == len(urls) - 1 or hit(7 * n) else "allow" for n in range(len(urls))}
+    # the filter alone passes a few others, which the join removes
+    keys = entries.select(url_filter.F.concat(url_filter.F.lit("L"), "host", "path").alias("key"))
+    blocks = url_filter.blocked_bloom(keys, 20_000)
+    hashes = lambda df: df.select(url_filter.F.xxhash64("key")).toPandas().iloc[:, 0].to_numpy()
+    assert url_filter.possible(hashes(keys), blocks).all()
+    others = spark.range(100_000).select(url_filter.F.concat(url_filter.F.lit("Lt"), "id").alias("key"))
+    assert 0 < url_filter.possible(hashes(others), blocks).mean() < 0.01
+
+
 # ---------------------------------------------------------------- personal data
 
 
