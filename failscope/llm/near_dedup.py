@@ -341,12 +341,18 @@ def _links(docs: DataFrame, classes: DataFrame, words: int, threshold: float, tr
     stop, alone = min(depths), next((n for n, d in enumerate(depths) if 0 < n and d <= FULL_DEPTH), 1)
     parts = partitions(docs.sparkSession)
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    placed = classes.where(F.col("n_shingles") >= alone).select("key", "rep_id", "labels", "n_shingles", tree.alias("tree"))
-    placed = placed.withColumn("hi", F.get("labels", F.col("tree") * 2)).withColumn("lo", F.get("labels", F.col("tree") * 2 + 1)).withColumn("label", _prefix(stop))
+    hi, lo = (F.get("labels", F.col("tree") * 2 + half) for half in (0, 1))
+    placed = classes.where(F.col("n_shingles") >= alone).select("key", "labels", "n_shingles", tree.alias("tree"))
+    placed = placed.select("key", "n_shingles", "tree", hi.alias("hi"), lo.alias("lo")).select("key", "n_shingles", "tree", _prefix(stop).alias("label"))
     nodes = placed.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).where("m > 1")
     # the same members below nodes of several trees: the first tree's node is kept
     nodes = nodes.groupBy("m", "s", "x", "y").agg(F.min(F.struct("tree", "label")).alias("node")).select("m", "s", F.col("node.tree").alias("in_tree"), F.col("node.label").alias("in_label"))
-    members = placed.join(nodes, (F.col("tree") == F.col("in_tree")) & (F.col("label") == F.col("in_label")))
+    nodes = by_size(materialise(nodes, "near-nodes"), 64)
+    hits = materialise(placed.join(nodes, (F.col("tree") == F.col("in_tree")) & (F.col("label") == F.col("in_label"))).select("key", "tree", "label", "m", "s"), "near-hits")
+    # labels meet their nodes only now, and only those of sets in some node
+    some = materialise(hits.select(F.col("key").alias("hit")).distinct(), "near-hit")
+    labelled = classes.join(by_size(some, 64), F.col("key") == F.col("hit"), "left_semi").select(F.col("key").alias("of_key"), "rep_id", "labels", "n_shingles")
+    members = hits.join(labelled, F.col("key") == F.col("of_key")).withColumn("hi", hi).withColumn("lo", lo)
     n_blocks = F.greatest(F.least(F.ceil(F.col("m") / block), F.lit(BLOCKS)), F.ceil(F.col("m") / max(block, BLOCK_MOST)), F.ceil(F.col("s") * 8 / BLOCK_BYTES)).cast("int")
     members = members.withColumn("block", F.pmod(F.xxhash64("key", F.lit(2)), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     members = members.select("key", "rep_id", "labels", "n_shingles", "tree", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "hi", "lo")
