@@ -7,6 +7,7 @@ from itertools import chain
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from failscope.functions.text import two_places
 from failscope.operators.model import KEY, ordered_lines
 
 THRESHOLD = 0.5
@@ -54,5 +55,5 @@ def explain(verdicts_: DataFrame, events: DataFrame, limit: int = 5) -> DataFram
     """(traj_key, text): the verdict and its strongest evidence."""
     line = F.concat(F.lit("  step "), F.col("step_index").cast("string"), F.lit(": ["), F.col("kind"), F.lit("] "), F.col("evidence"))
     lines = top_events(events, limit).withColumn("__l", line).groupBy(KEY).agg(ordered_lines("__l", "rank").alias("__lines"))
-    head = F.concat(F.when(F.col("failed"), F.lit("FAILED")).otherwise(F.lit("ok")), F.lit(" (confidence "), F.format_string("%.2f", "confidence"), F.lit(")\n"))
+    head = F.concat(F.when(F.col("failed"), F.lit("FAILED")).otherwise(F.lit("ok")), F.lit(" (confidence "), two_places("confidence"), F.lit(")\n"))
     return verdicts_.join(lines, KEY, "left").select(KEY, F.coalesce(F.concat(head, F.col("__lines")), F.lit("no signals fired")).alias("text"))

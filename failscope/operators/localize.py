@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from failscope.functions.text import two_places
 from failscope.operators.model import KEY, is_thought, ordered_lines, summary, with_step_count
 
 
@@ -135,6 +136,6 @@ def render_windows(steps: DataFrame, events: DataFrame, windows_: DataFrame, wid
     left = F.when(F.lead("start").over(trace).isNull(), F.col("n_steps") - F.col("end")).otherwise(F.lit(0))
     whole = whole.withColumn("__skipped", skipped).withColumn("__left", left)
     note = lambda c: F.when(F.col(c) > 0, F.concat(F.lit("… "), F.col(c).cast("string"), F.lit(" step(s) omitted …")))
-    head = F.concat(F.lit("--- steps "), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"), F.lit(" (suspicion "), F.format_string("%.2f", "score"), F.lit(") ---"))
+    head = F.concat(F.lit("--- steps "), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"), F.lit(" (suspicion "), two_places("score"), F.lit(") ---"))
     text = F.concat_ws("\n", note("__skipped"), head, "body", F.when(F.col("findings").isNotNull(), F.concat(F.lit("signals:\n"), F.col("findings"))), note("__left"))
     return whole.withColumn("__text", text).groupBy(KEY).agg(ordered_lines("__text", "window_no").alias("text"))

@@ -24,7 +24,7 @@ def _r(c: str, places: int = 6, name: str | None = None):
 
 
 def _events_of(df: DataFrame) -> DataFrame:
-    return _tid(df, "step_index", "kind", _r("severity"))
+    return _tid(df, "step_index", "kind", _r("severity"), "evidence")
 
 
 # ---------------------------------------------------------------- steps
@@ -88,7 +88,7 @@ def corpus_stats(spark: SparkSession, sf: str) -> DataFrame:
     return signals.corpus_stats(steps_from_events(spark, sf)).select(_r("mean_steps"), _r("std_steps"))
 
 
-#: Seven kinds that fire on the weekly traces; arguments are coarse, so that calls repeat.
+#: Signals, of seven kinds, that fire on the weekly traces; arguments are coarse, so that calls repeat.
 BATTERY = [
     ("tool_error", signals.tool_error),
     ("repeated_call", signals.repeated_call),
@@ -106,13 +106,13 @@ def _traces(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def events_all_sorted(spark: SparkSession, sf: str) -> DataFrame:
     _, events = _traces(spark, sf)
     order = Window.partitionBy(KEY).orderBy(*signals.EVENT_ORDER)
-    return _tid(events.withColumn("ord", F.row_number().over(order)), "ord", "step_index", "kind", _r("severity"))
+    return _tid(events.withColumn("ord", F.row_number().over(order)), "ord", "step_index", "kind", _r("severity"), "evidence")
 
 
 def battery_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole default battery in one pass: events by kind, where no kind depends on recursion."""
+    """The whole default battery in one pass: events by kind, and the length of all they say."""
     found = signals.run_signals(steps_from_events(spark, sf, "user"), signals.default_signals())
-    return found.where("kind <> 'oscillation'").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("severity"), 4).alias("mass"))
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("severity"), 4).alias("mass"), F.sum(F.char_length("evidence")).alias("chars"))
 
 
 # ---------------------------------------------------------------- constraints
@@ -159,6 +159,7 @@ def det_explain_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 def det_explain_text(spark: SparkSession, sf: str) -> DataFrame:
     steps, events = _traces(spark, sf)
+    events = events.withColumn("severity", F.round("severity", 6))  # ties whatever the last bit
     return _tid(detect.explain(detect.verdicts(steps, events), events), "text")
 
 
@@ -227,7 +228,7 @@ def loc_ranked_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def loc_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return _tid(localize.windows(_rounded_scores(spark, sf)), "window_no", "start", "end", "peak", _r("score"))
+    return _tid(localize.windows(_rounded_scores(spark, sf)), "window_no", "start", "end", "peak", _score())
 
 
 def loc_window_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -238,7 +239,7 @@ def loc_window_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def loc_window_text(spark: SparkSession, sf: str) -> DataFrame:
     steps, events = _traces(spark, sf)
-    return _tid(localize.render_windows(steps, events, localize.windows(localize.score_steps(steps, events))), "text")
+    return _tid(localize.render_windows(steps, events, localize.windows(_rounded_scores(spark, sf))), "text")
 
 
 # ---------------------------------------------------------------- taxonomy and prices
@@ -372,7 +373,8 @@ def _task(steps: DataFrame) -> DataFrame:
 
 def judge_prompt(spark: SparkSession, sf: str) -> DataFrame:
     steps, events = _traces(spark, sf)
-    return _tid(judge.prompts(_task(steps), steps, events), "prompt", "steps_shown", "steps_total")
+    events = events.withColumn("severity", F.round("severity", 6))  # ties whatever the last bit
+    return _tid(judge.prompts(_task(steps), steps, events, scores=_rounded_scores(spark, sf)), "prompt", "steps_shown", "steps_total")
 
 
 def _scripted() -> judge.ScriptedClient:

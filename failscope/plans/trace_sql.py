@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from failscope.functions import taxonomy
+from failscope.operators import judge
 from failscope.plans.projection import STEPS_SQL
 from failscope.plans.trace_queries import TEXTS
 
@@ -12,36 +14,79 @@ _INCOMPLETE = f"{_TAIL} AND NOT observed AND regexp_matches(content, '(?i)unfort
 _LEAKED = f"{_TAIL} AND regexp_matches(content, 'ValueError:|HTTP 503')"
 
 
-def _event(kind: str, severity: str, where: str, source: str = "steps") -> str:
-    return f"SELECT tid, i AS step_index, '{kind}' AS kind, round(CAST({severity} AS DOUBLE), 6) AS severity FROM {source} WHERE {where}"
+def _event(kind: str, severity: str, where: str, source: str = "steps", told: str | None = None) -> str:
+    """Events of one kind; ``told`` is the expression of their evidence."""
+    evidence = "" if told is None else f", {told} AS evidence"
+    return f"SELECT tid, i AS step_index, '{kind}' AS kind, round(CAST({severity} AS DOUBLE), 6) AS severity{evidence} FROM {source} WHERE {where}"
+
+
+def _call(modulus: int, kind: str = "event_type") -> str:
+    return f"{kind} || '({{\"k\": ' || k % {modulus} || '}})'"
+
+
+def _tool_error(source: str = "steps") -> str:
+    return _event("tool_error", "0.6", _TOOL_ERROR, source, "'tool error returned an error: ' || content")
+
+
+def _refusal(source: str = "steps") -> str:
+    return _event("refusal", "0.7", _REFUSAL, source, "'agent declines or gives up: …' || content || '…'")
+
+
+def _incomplete(source: str = "steps") -> str:
+    return _event("incomplete_outcome", "0.5", _INCOMPLETE, source, "'reports the task is incomplete: …' || content || '…'")
+
+
+def _leaked(source: str = "steps") -> str:
+    return _event("leaked_error", "0.6", _LEAKED, source, "'raw error surfaced in output: …' || content || '…'")
+
+
+def _truncated(source: str = "steps") -> str:
+    return _event("truncated_run", "0.45", "i = n AND acts", source, "'trajectory ends on tool activity with no closing response to the user'")
+
+
+def _ceiling(steps: int, source: str = "steps") -> str:
+    return _event("budget_anomaly", "0.25", f"i = n AND n >= {steps}", source, f"n || ' steps exceeds the default ceiling of {steps}'")
 
 
 def _repeated(modulus: int, source: str = "steps") -> str:
     inner = f"SELECT *, count(*) OVER (PARTITION BY tid, event_type, k % {modulus}) AS c, min(i) OVER (PARTITION BY tid, event_type, k % {modulus}) AS f FROM {source} WHERE called"
-    return _event("repeated_call", "least(0.3::DOUBLE + 0.15::DOUBLE * (c - 1), 0.85::DOUBLE)", "c >= 2 AND i > f", f"({inner})")
+    return _event("repeated_call", "least(0.3::DOUBLE + 0.15::DOUBLE * (c - 1), 0.85::DOUBLE)", "c >= 2 AND i > f", f"({inner})", f"'repeats the identical call ' || {_call(modulus)} || ' first made at step ' || f || ' (' || c || 'x total)'")
 
 
 def _stall(window: int, source: str = "steps") -> str:
     cut = f"SELECT *, sum(CASE WHEN role = 'assistant' AND NOT acts AND trim(content) <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY tid ORDER BY i) AS seg FROM {source}"
     runs = f"SELECT tid, min(i) AS i, count(*) AS c FROM ({cut}) WHERE acts GROUP BY tid, seg"
-    return _event("stall", f"least(0.2::DOUBLE + 0.03::DOUBLE * (c - {window}), 0.45::DOUBLE)", f"c >= {window}", f"({runs})")
+    return _event("stall", f"least(0.2::DOUBLE + 0.03::DOUBLE * (c - {window}), 0.45::DOUBLE)", f"c >= {window}", f"({runs})", "c || ' consecutive tool interactions from step ' || i || ' without responding to the user'")
 
 
 def _no_progress(window: int, source: str = "steps") -> str:
     breaks = "(acts OR (role IN ('user', 'assistant') AND NOT thought))"
     cut = f"SELECT *, {breaks} AS b, sum(CASE WHEN {breaks} THEN 1 ELSE 0 END) OVER (PARTITION BY tid ORDER BY i) AS isl FROM {source}"
     runs = f"SELECT tid, min(i) AS i, count(*) AS c FROM ({cut}) WHERE NOT b GROUP BY tid, isl"
-    return _event("no_progress", f"least(0.2::DOUBLE + 0.05::DOUBLE * (c - {window}), 0.5::DOUBLE)", f"c >= {window}", f"({runs})")
+    return _event("no_progress", f"least(0.2::DOUBLE + 0.05::DOUBLE * (c - {window}), 0.5::DOUBLE)", f"c >= {window}", f"({runs})", "c || ' consecutive steps of deliberation without acting, starting at step ' || i")
+
+
+def _oscillation(modulus: int, source: str = "steps") -> str:
+    """Common table expressions ``turns``, ``cand`` and ``taken``, and the events of them."""
+    return f"""
+, turns AS (SELECT tid, i, {_call(modulus)} AS c, row_number() OVER t AS turn, lead({_call(modulus)}, 1) OVER t AS c1, lead({_call(modulus)}, 2) OVER t AS c2, lead({_call(modulus)}, 3) OVER t AS c3, lead(i, 3) OVER t AS i3
+    FROM {source} WHERE called WINDOW t AS (PARTITION BY tid ORDER BY i)),
+cand AS (SELECT * FROM turns WHERE c = c2 AND c1 = c3 AND c <> c1),
+taken AS (SELECT tid, min(turn) AS turn FROM cand GROUP BY tid
+    UNION ALL SELECT t.tid, (SELECT min(c.turn) FROM cand c WHERE c.tid = t.tid AND c.turn >= t.turn + 4) AS turn FROM taken t WHERE EXISTS (SELECT 1 FROM cand c WHERE c.tid = t.tid AND c.turn >= t.turn + 4)),
+swings AS (SELECT c.tid, c.i AS step_index, 'oscillation' AS kind, 0.65::DOUBLE AS severity, 'alternates between ' || c.c || ' and ' || c.c1 || ' across steps ' || c.i || '-' || c.i3 || ' without resolving' AS evidence
+    FROM cand c JOIN taken t ON c.tid = t.tid AND c.turn = t.turn)
+"""
 
 
-_TRUNCATED = _event("truncated_run", "0.45", "i = n AND acts")
+_RECURSIVE = STEPS_SQL.replace("WITH base", "WITH RECURSIVE base")
 #: The seven kinds of ``trace_queries.BATTERY``, their order of emission, and the events table.
 EVENTS_SQL = (
     STEPS_SQL
     + ", ev AS ("
     + " UNION ALL ".join(
         f"SELECT *, {o} AS so FROM ({sql})"
-        for o, sql in enumerate([_event("tool_error", "0.6", _TOOL_ERROR), _repeated(10), _event("refusal", "0.7", _REFUSAL), _event("incomplete_outcome", "0.5", _INCOMPLETE), _event("leaked_error", "0.6", _LEAKED), _TRUNCATED, _stall(5)])
+        for o, sql in enumerate([_tool_error(), _repeated(10), _refusal(), _incomplete(), _leaked(), _truncated(), _stall(5)])
     )
     + ")"
 )
@@ -71,6 +116,33 @@ truth AS (
     SELECT tid, max(CASE WHEN root THEN i END) AS critical_step, max(CASE WHEN root THEN cas END) AS root_cause_case, min_by(cas, i) AS earliest_case, max_by(cas, i) AS terminal_case,
            list_sort(list_distinct(list(cas))) AS all_cases
     FROM named WHERE root OR k % 7 = 0 GROUP BY tid)"""
+#: Evidence windows, grown in the order of the scores (five at most, eight steps back and two on), and their texts.
+_GROWN = """
+, cand AS (SELECT tid, n, i AS peak, score, row_number() OVER (PARTITION BY tid ORDER BY score DESC, i) AS r FROM scored WHERE score > 0),
+grow AS (
+    SELECT tid, n, 0::BIGINT AS r, CAST([] AS STRUCT(s INTEGER, e INTEGER, peak INTEGER, score DOUBLE)[]) AS taken FROM (SELECT DISTINCT tid, n FROM cand)
+    UNION ALL
+    SELECT g.tid, g.n, c.r, CASE WHEN len(taken) >= 5 OR len(list_filter(taken, lambda w: c.peak BETWEEN w.s AND w.e)) > 0 THEN taken ELSE list_append(taken, struct_pack(
+        s := greatest(1, c.peak - 8, coalesce(list_max(list_transform(list_filter(taken, lambda w: w.e < c.peak), lambda w: w.e)) + 1, 1)),
+        e := least(g.n, c.peak + 2, coalesce(list_min(list_transform(list_filter(taken, lambda w: w.s > c.peak), lambda w: w.s)) - 1, g.n)), peak := c.peak, score := c.score)) END
+    FROM grow g JOIN cand c ON c.tid = g.tid AND c.r = g.r + 1),
+grown AS (SELECT tid, max_by(taken, r) AS taken FROM grow GROUP BY tid),
+spans AS (
+    SELECT tid, unnest(taken, recursive := true) FROM grown
+    UNION ALL SELECT tid, greatest(1, n - 10) AS s, n AS e, n AS peak, 0.0 AS score FROM (SELECT DISTINCT tid, n FROM steps) t WHERE tid NOT IN (SELECT tid FROM grown)),
+wins AS (SELECT *, CAST(row_number() OVER (PARTITION BY tid ORDER BY s) AS INTEGER) AS window_no FROM spans)"""
+_WINDOWS = _MASS.replace("WITH base", "WITH RECURSIVE base") + _GROWN
+_SUMMARY = "'[' || i || '] ' || coalesce(agent, role) || ': ' || CASE WHEN called THEN '-> ' || event_type || '({\"amount\":' || CAST(value AS VARCHAR) || ',\"k\":' || k % 10 || '})' WHEN observed THEN '<- ' || content ELSE content END"
+_EXCERPT = _WINDOWS + f"""
+, lines AS (SELECT tid, i, n, {_SUMMARY} AS line FROM steps),
+bodies AS (SELECT w.tid, w.window_no, string_agg(line, chr(10) ORDER BY l.i) AS body, any_value(l.n) AS n FROM wins w JOIN lines l ON l.tid = w.tid AND l.i BETWEEN w.s AND w.e GROUP BY w.tid, w.window_no),
+findings AS (SELECT w.tid, w.window_no, string_agg('  ! step ' || step_index || ' [' || kind || '] ' || evidence, chr(10) ORDER BY step_index, kind, so) AS found FROM wins w JOIN ev ON ev.tid = w.tid AND step_index BETWEEN w.s AND w.e WHERE w.score > 0 GROUP BY w.tid, w.window_no),
+gaps AS (SELECT *, s - coalesce(lag(e) OVER t, 0) - 1 AS skipped, lead(s) OVER t IS NULL AS closing FROM wins WINDOW t AS (PARTITION BY tid ORDER BY window_no)),
+parts AS (
+    SELECT g.tid, g.window_no, CASE WHEN skipped > 0 THEN '… ' || skipped || ' step(s) omitted …' || chr(10) ELSE '' END || '--- steps ' || g.s || '-' || g.e || ' (suspicion ' || printf('%.2f', score) || ') ---' || chr(10) || body
+        || coalesce(chr(10) || 'signals:' || chr(10) || found, '') || CASE WHEN closing AND n > g.e THEN chr(10) || '… ' || (n - g.e) || ' step(s) omitted …' ELSE '' END AS part
+    FROM gaps g JOIN bodies b ON b.tid = g.tid AND b.window_no = g.window_no LEFT JOIN findings f ON f.tid = g.tid AND f.window_no = g.window_no),
+excerpt AS (SELECT tid, string_agg(part, chr(10) ORDER BY window_no) AS text FROM parts GROUP BY tid)"""
 _PAIRED = _MASS + _TRUTH + """
 , paired AS (SELECT t.*, p.step, abs(p.step - t.critical_step) AS d, CASE WHEN p.step % 2 = 0 THEN 9 ELSE 3 END AS cas FROM prior p JOIN truth t ON p.tid = t.tid)"""
 
@@ -117,6 +189,15 @@ _LINE = "'[' || (turn + 1) || '] ' || role || ': ' || CASE WHEN length(b) <= {w}
 _FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: What is hashed for the query's two sets of tool schemas.
+_FINGERPRINT_A = '{"policy":"be kind","schemas":[{"function":{"name":"click","parameters":{"properties":{"k":{}},"required":["k","order_id"]}}}]}'
+_FINGERPRINT_B = '{"policy":"be kind","schemas":[{"name":"purchase"}]}'
+
+
 ORACLES = {
     "steps_number": STEPS_SQL + "SELECT tid, i AS step_index, n AS n_steps, role FROM steps",
     "steps_contiguity_check": "SELECT conv_id AS tid, CAST(count(*) AS INTEGER) AS n_steps, min(turn) = 0 AND max(turn) + 1 = count(*) AND count(DISTINCT turn) = count(*) AS contiguous FROM conversations GROUP BY conv_id",
@@ -125,32 +206,25 @@ ORACLES = {
     "step_at_first": "SELECT conv_id AS tid, 1 AS step_index, role FROM conversations WHERE turn = 0",
     "calls_explode": STEPS_SQL + "SELECT tid, i AS step_index, 0 AS call_pos, event_type AS name, '{\"k\": ' || k || '}' AS args_key FROM steps WHERE called",
     "role_filter": "SELECT conv_id AS tid, CAST(turn + 1 AS INTEGER) AS step_index, role FROM conversations WHERE role NOT IN ('system', 'user')",
-    "sig_tool_error": STEPS_SQL + _event("tool_error", "0.6", _TOOL_ERROR),
-    "sig_malformed_arguments": STEPS_SQL + _event("malformed_arguments", "0.8", "called AND k % 10 = 0"),
-    "sig_unknown_tool": STEPS_SQL + _event("unknown_tool", "0.9", "event_type = 'purchase'"),
-    "sig_argument_schema": STEPS_SQL + _event("argument_schema_violation", "0.75", "event_type = 'click'") + " UNION ALL " + _event("argument_schema_violation", "0.4", "event_type = 'click'"),
+    "sig_tool_error": STEPS_SQL + _tool_error(),
+    "sig_malformed_arguments": STEPS_SQL + _event("malformed_arguments", "0.8", "called AND k % 10 = 0", told="'arguments to ' || event_type || ' are not valid JSON: bad'"),
+    "sig_unknown_tool": STEPS_SQL + _event("unknown_tool", "0.9", "event_type = 'purchase'", told="'called undeclared tool ''purchase'''"),
+    "sig_argument_schema": STEPS_SQL + _event("argument_schema_violation", "0.75", "event_type = 'click'", told="'click missing required argument(s): order_id'") + " UNION ALL " + _event("argument_schema_violation", "0.4", "event_type = 'click'", told="'click passed undeclared argument(s): amount'"),
     "sig_repeated_call": STEPS_SQL + _repeated(10),
-    "sig_oscillation": STEPS_SQL.replace("WITH base", "WITH RECURSIVE base") + """
-, turns AS (SELECT tid, i, event_type || (k % 2) AS c, row_number() OVER t AS turn, lead(event_type || (k % 2), 1) OVER t AS c1, lead(event_type || (k % 2), 2) OVER t AS c2, lead(event_type || (k % 2), 3) OVER t AS c3
-    FROM steps WHERE called WINDOW t AS (PARTITION BY tid ORDER BY i)),
-cand AS (SELECT * FROM turns WHERE c = c2 AND c1 = c3 AND c <> c1),
-taken AS (SELECT tid, min(turn) AS turn FROM cand GROUP BY tid
-    UNION ALL SELECT t.tid, (SELECT min(c.turn) FROM cand c WHERE c.tid = t.tid AND c.turn >= t.turn + 4) AS turn FROM taken t WHERE EXISTS (SELECT 1 FROM cand c WHERE c.tid = t.tid AND c.turn >= t.turn + 4))
-SELECT c.tid, c.i AS step_index, 'oscillation' AS kind, 0.65::DOUBLE AS severity FROM cand c JOIN taken t ON c.tid = t.tid AND c.turn = t.turn""",
+    "sig_oscillation": _RECURSIVE + _oscillation(2) + "SELECT * FROM swings",
     "sig_no_progress": STEPS_SQL + _no_progress(3),
-    "sig_refusal": STEPS_SQL + _event("refusal", "0.7", _REFUSAL),
-    "sig_incomplete_outcome": STEPS_SQL + _event("incomplete_outcome", "0.5", _INCOMPLETE),
-    "sig_leaked_error": STEPS_SQL + _event("leaked_error", "0.6", _LEAKED),
-    "sig_truncated_run": STEPS_SQL + _TRUNCATED,
-    "sig_budget_absolute": STEPS_SQL + _event("budget_anomaly", "0.25", "i = n AND n >= 20"),
-    "sig_budget_zscore": STEPS_SQL + ", st AS (SELECT avg(c) AS m, stddev_pop(c) AS s FROM (SELECT count(*) AS c FROM steps GROUP BY tid)) SELECT tid, i AS step_index, 'budget_anomaly' AS kind, round(least(0.2::DOUBLE + 0.1::DOUBLE * ((n - m) / s - 2), 0.5::DOUBLE), 6) AS severity FROM steps, st WHERE i = n AND (n - m) / s >= 2",
+    "sig_refusal": STEPS_SQL + _refusal(),
+    "sig_incomplete_outcome": STEPS_SQL + _incomplete(),
+    "sig_leaked_error": STEPS_SQL + _leaked(),
+    "sig_truncated_run": STEPS_SQL + _truncated(),
+    "sig_budget_absolute": STEPS_SQL + _ceiling(20),
+    "sig_budget_zscore": STEPS_SQL + ", st AS (SELECT avg(c) AS m, stddev_pop(c) AS s FROM (SELECT count(*) AS c FROM steps GROUP BY tid)) SELECT tid, i AS step_index, 'budget_anomaly' AS kind, round(least(0.2::DOUBLE + 0.1::DOUBLE * ((n - m) / s - 2), 0.5::DOUBLE), 6) AS severity, n || ' steps is ' || printf('%.1f', (n - m) / s) || 'σ above the corpus mean of ' || printf('%.0f', round_even(m, 0)) AS evidence FROM steps, st WHERE i = n AND (n - m) / s >= 2",
     "corpus_stats": STEPS_SQL + "SELECT round(avg(c), 6) AS mean_steps, round(stddev_pop(c), 6) AS std_steps FROM (SELECT count(*) AS c FROM steps GROUP BY tid)",
     "sig_stall": STEPS_SQL + _stall(5),
     "sig_stall_user": STEPS_SQL + _stall(10, "user_steps"),
-    "events_all_sorted": EVENTS_SQL + "SELECT tid, CAST(row_number() OVER (PARTITION BY tid ORDER BY step_index, kind, so) AS INTEGER) AS ord, step_index, kind, severity FROM ev",
-    "battery_counts": STEPS_SQL + "SELECT kind, count(*) AS n, round(sum(severity), 4) AS mass FROM (" + " UNION ALL ".join([
-        _event("tool_error", "0.6", _TOOL_ERROR, "user_steps"), _repeated(100, "user_steps"), _no_progress(6, "user_steps"), _event("refusal", "0.7", _REFUSAL, "user_steps"), _event("incomplete_outcome", "0.5", _INCOMPLETE, "user_steps"),
-        _event("leaked_error", "0.6", _LEAKED, "user_steps"), _event("truncated_run", "0.45", "i = n AND acts", "user_steps"), _event("budget_anomaly", "0.25", "i = n AND n >= 80", "user_steps"), _stall(10, "user_steps")]) + ") GROUP BY kind",
+    "events_all_sorted": EVENTS_SQL + "SELECT tid, CAST(row_number() OVER (PARTITION BY tid ORDER BY step_index, kind, so) AS INTEGER) AS ord, step_index, kind, severity, evidence FROM ev",
+    "battery_counts": _RECURSIVE + _oscillation(100, "user_steps") + "SELECT kind, count(*) AS n, round(sum(severity), 4) AS mass, CAST(sum(length(evidence)) AS BIGINT) AS chars FROM (SELECT * FROM swings UNION ALL " + " UNION ALL ".join([
+        _tool_error("user_steps"), _repeated(100, "user_steps"), _no_progress(6, "user_steps"), _refusal("user_steps"), _incomplete("user_steps"), _leaked("user_steps"), _truncated("user_steps"), _ceiling(80, "user_steps"), _stall(10, "user_steps")]) + ") GROUP BY kind",
     "con_require_before": STEPS_SQL + ", calls AS (SELECT *, coalesce(max(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY tid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen FROM steps WHERE called) " + _event("constraint_violation", "0.8", "event_type = 'purchase' AND seen = 0", "calls"),
     "con_numeric_bound": STEPS_SQL + _event("constraint_violation", "0.85", "event_type = 'purchase' AND (value > 150 OR value < 2)"),
     "con_step": STEPS_SQL + _event("constraint_violation", "0.75", "contains(content, 'HTTP 503')"),
@@ -176,6 +250,28 @@ counted AS (SELECT any_value(folds) AS folds, count(*) FILTER (label AND said) A
     "loc_step_scores": _MASS + "SELECT tid, i AS step_index, round(score + 2e-9, 6) AS score FROM scored",
     "loc_prior": _MASS + "SELECT tid, step, round(confidence, 6) AS confidence FROM prior",
     "loc_ranked_topk": _MASS + "SELECT tid, rank, i AS step_index, round(score + 2e-9, 6) AS score FROM ranked WHERE rank <= 3",
+    "loc_windows": _WINDOWS + "SELECT tid, window_no, s AS start, e AS \"end\", peak, round(score + 2e-9, 6) AS score FROM wins",
+    "loc_window_text": _EXCERPT + "SELECT tid, text FROM excerpt",
+    "schema_fingerprint": STEPS_SQL + f"SELECT tid, substr(sha256(CASE WHEN k % 2 = 0 THEN {_literal(_FINGERPRINT_A)} ELSE {_literal(_FINGERPRINT_B)} END), 1, 16) AS fingerprint FROM steps WHERE i = 1",
+    "det_explain_text": _CONFIDENCE + """
+, top AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY severity DESC, step_index, kind, so) AS rank FROM ev),
+told AS (SELECT tid, string_agg('  step ' || step_index || ': [' || kind || '] ' || evidence, chr(10) ORDER BY rank) AS lines FROM top WHERE rank <= 5 GROUP BY tid)
+SELECT t.tid, coalesce(CASE WHEN confidence >= 0.5 THEN 'FAILED' ELSE 'ok' END || ' (confidence ' || printf('%.2f', confidence) || ')' || chr(10) || lines, 'no signals fired') AS text
+FROM (SELECT DISTINCT tid FROM steps) t LEFT JOIN conf c ON t.tid = c.tid LEFT JOIN told s ON t.tid = s.tid""",
+    "score_window_recall": _WINDOWS + _TRUTH + """
+, hit AS (SELECT t.tid, max(CASE WHEN t.critical_step BETWEEN w.s AND w.e THEN 1.0 ELSE 0.0 END) AS inside FROM truth t JOIN wins w ON w.tid = t.tid GROUP BY t.tid)
+SELECT round(avg(inside), 6) AS window_recall, CAST(sum(step * 10) AS BIGINT) AS prompt_tokens, CAST(sum(step) AS BIGINT) AS completion_tokens, 0.5::DOUBLE AS mean_latency_s FROM hit JOIN prior ON hit.tid = prior.tid""",
+    "judge_fake_report": _WINDOWS + """
+SELECT p.tid, least(99, n) AS critical_step, 'System Failure' AS category, 0.7::DOUBLE AS confidence, CAST(shown AS INTEGER) AS steps_shown, n AS steps_total, 1 AS repairs, false AS degraded
+FROM prior p JOIN (SELECT tid, sum(e - s + 1) AS shown FROM wins GROUP BY tid) w ON w.tid = p.tid JOIN (SELECT DISTINCT tid, n FROM steps) t ON t.tid = p.tid""",
+    "judge_prompt": _EXCERPT + f"""
+, strong AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY severity DESC, step_index, kind, so) AS r, count(*) OVER (PARTITION BY tid) AS m FROM ev),
+logs AS (SELECT tid, string_agg('- step ' || step_index || ' [' || kind || ', severity ' || printf('%.2f', severity) || '] ' || evidence, chr(10) ORDER BY step_index, r) || CASE WHEN any_value(m) > 40 THEN chr(10) || '- … ' || (any_value(m) - 40) || ' weaker signal(s) omitted' ELSE '' END AS log FROM strong WHERE r <= 40 GROUP BY tid)
+SELECT t.tid, '## Task' || chr(10) || 'Buy what the user asks for.' || chr(10) || chr(10) || '## Domain policy (excerpt)' || chr(10) || 'Never guess.' || chr(10) || chr(10)
+    || coalesce('## Violation log' || chr(10) || {_literal(judge.CAVEAT)} || chr(10) || log || chr(10) || chr(10), '')
+    || '## Evidence (excerpt)' || chr(10) || 'These are the most suspicious spans of a ' || n || '-step trajectory. Step numbers are absolute; omitted spans are marked.' || chr(10) || chr(10) || text || chr(10) || chr(10)
+    || {_literal("## Failure taxonomy" + chr(10) + taxonomy.checklist() + chr(10) + chr(10) + judge.ANSWER)} AS prompt, CAST(shown AS INTEGER) AS steps_shown, n AS steps_total
+FROM (SELECT DISTINCT tid, n FROM steps) t JOIN excerpt x ON x.tid = t.tid LEFT JOIN logs l ON l.tid = t.tid JOIN (SELECT tid, sum(e - s + 1) AS shown FROM wins GROUP BY tid) w ON w.tid = t.tid""",
     "loc_window_events": EVENTS_SQL + "SELECT e.tid, 3 AS start, least(7, s.n) AS \"end\", step_index, kind, severity FROM ev e JOIN (SELECT DISTINCT tid, n FROM steps WHERE n >= 3) s ON e.tid = s.tid WHERE step_index BETWEEN 3 AND least(7, s.n)",
     "tax_normalize": _TEXT + f"SELECT event_id, {_NORMAL} AS category FROM l",
     "tax_case_number": _TEXT + f", m AS (SELECT event_id, {_NORMAL} AS c FROM l), q AS (SELECT event_id, CASE WHEN c = 'FailureCase.SYSTEM_FAILURE' THEN 9 ELSE {_NUMBER} END AS n FROM m) SELECT event_id, n AS case_no, {_NAME} AS category FROM q",

@@ -403,3 +403,11 @@ def test_scoring_without_root_cause_and_errors(spark):
     first = spark.createDataFrame([("a", 1), ("b", 1)], "trajectory_id string, x int")
     second = spark.createDataFrame([("b", 2), ("c", 2)], "trajectory_id string, x int")
     assert sorted(map(tuple, scoring.first_wins(first, second).collect())) == [("a", 1), ("b", 1), ("c", 2)]
+
+
+def test_two_places_as_printed(spark):
+    from failscope.functions.text import two_places
+
+    values = [0.0, 0.125, 0.375, 1.125, 1.035, 0.285, 0.295, 2.675, 0.005, 0.015, 0.994999, 0.995, 0.9999, 12.345, 7.0, *(i / 1000 for i in range(0, 3000, 5))]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(two_places("v")).collect()
+    assert [r[0] for r in got] == [f"{v:.2f}" for v in values]
