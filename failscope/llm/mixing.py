@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from failscope.llm.common import materialise, whole_text
+from failscope.llm.common import by_size, fresh, materialise, table, whole_text
 
 #: Keys have this many bits.
 KEY_BITS = 60
@@ -106,17 +106,18 @@ def mixed_documents(docs: DataFrame, seed: int = 17, max_epochs: int = MAX_EPOCH
     it has rows; each of the rows has the largest ``taken`` of them.
     """
     mixed = mix_sources(docs, seed, max_epochs).groupBy("doc_id", "source", "size").agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.max("taken").alias("taken"))
-    mixed = mixed.where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "source_size", "target", "taken")
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    of_id, of_source, of_size = fresh([*docs.columns, "size"], "of_id", "of_source", "of_size")
+    mixed = mixed.where("taken > 0").select(F.col("doc_id").alias(of_id), F.col("source").alias(of_source), F.col("size").alias(of_size), "source_size", "target", "taken")
+    # written, so that its size is known: texts are shuffled to meet it only where it is too large to broadcast
+    mixed = by_size(materialise(mixed, "mix-taken"), 128)
+    keep = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")]
     sized = docs.select(*keep, word_count().alias("size"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size"))
+    same = F.col("doc_id").eqNullSafe(F.col(of_id)) & F.col("source").eqNullSafe(F.col(of_source)) & (F.col("size") == F.col(of_size))
     return sized.join(mixed, same).select(*keep, "size", "source_size", "target", "taken")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     """All documents: doc_id, size, source_size, target, taken."""
-    from failscope.llm.common import table
-
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

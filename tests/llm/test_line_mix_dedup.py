@@ -132,8 +132,16 @@ def test_lines_of_a_long_text(spark):
 
 
 def test_clashing_names(spark):
-    docs = docs_of(spark, ROWS).withColumnsRenamed({"id": "__id", "lang": "of_id", "key": "dropped", "size": "__rk"})
+    docs = docs_of(spark, ROWS).withColumnsRenamed({"id": "__id", "lang": "of_id", "key": "dropped", "size": "__rk", "h": "OF_SHA", "words": "of_source"})
     assert line_dedup.without_repeated_lines(docs).columns == docs.columns
+    assert exact_dedup.without_exact_duplicates(docs).columns == docs.columns
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == [*docs.columns, "size", "source_size", "target", "taken"] and mixed.where("__id = 7").count() == mixed.count() > 0
+
+
+def test_text_ids(spark):
+    docs = docs_of(spark, ROWS).withColumn("doc_id", __import__("pyspark").sql.functions.expr("'d' || doc_id"))
+    assert mixing.mixed_documents(docs).count() > 0 and line_dedup.line_digests(docs).count() == len(ROWS)
 
 
 def test_lines_text_is_replaced(spark):
