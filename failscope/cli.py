@@ -2,7 +2,9 @@
 
     detect PATH [--adapter NAME] [--threshold X]
     analyze PATH [--adapter NAME] [--base-url URL --model NAME] [--all] [--json]
+    bench TRACES TRUTH [--adapter NAME] [--system NAME ...] [--tier NAME --model NAME] [--repeats N] [--limit N] [--detection-only] [--out DIR]
     report RESULTS [--compare OTHER]
+    version
 """
 
 from __future__ import annotations
@@ -10,11 +12,13 @@ from __future__ import annotations
 import argparse
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from failscope.operators import detect, judge, scoring, signals, tables
-from failscope.operators.clients import ChatClient
+from failscope import __version__
+from failscope.operators import bench, detect, judge, scoring, signals, tables
+from failscope.operators.clients import TIERS, ChatClient, build_client
+from failscope.sources.benchmarks import read_ground_truth
 from failscope.sources.registry import READERS, load
 
 
@@ -31,14 +35,49 @@ def parser() -> argparse.ArgumentParser:
     command.add_argument("--system", default="filtered-log", choices=sorted(judge.SYSTEMS))
     command.add_argument("--all", action="store_true", help="diagnose traces that look healthy too")
     command.add_argument("--json", action="store_true")
+    bench = commands.add_parser("bench")
+    bench.add_argument("path")
+    bench.add_argument("truth")
+    bench.add_argument("--adapter", default="canonical", choices=sorted(READERS))
+    bench.add_argument("--domain", default="unknown")
+    bench.add_argument("--system", action="append", choices=sorted(judge.SYSTEMS))
+    bench.add_argument("--tier", choices=sorted(TIERS))
+    bench.add_argument("--model")
+    bench.add_argument("--base-url")
+    bench.add_argument("--repeats", type=int, default=1)
+    bench.add_argument("--limit", type=int, help="annotated traces of a domain, at most")
+    bench.add_argument("--detection-only", action="store_true")
+    bench.add_argument("--out", default="results")
+    commands.add_parser("version")
     report = commands.add_parser("report")
     report.add_argument("results")
     report.add_argument("--compare")
     return out
 
 
+def run_benchmark(args: argparse.Namespace, spark: SparkSession, trajectories: DataFrame, steps: DataFrame, events: DataFrame) -> int:
+    failures, roots = read_ground_truth(spark, args.truth, args.domain)
+    truth = scoring.ground_truth(failures, roots.select("trajectory_id", "root_failure_id"))
+    print("Detection:\n" + tables.format_table(bench.detection_rates(trajectories, events, truth)))
+    if args.detection_only:
+        return 0
+    systems = args.system or [s for s in judge.DEFAULT_SYSTEMS if args.tier or not judge.SYSTEMS[s].uses_model]
+    if not args.tier and any(judge.SYSTEMS[s].uses_model for s in systems):
+        print("a judge needs --tier; --system signals-only needs none")
+        return 2
+    if args.limit:
+        trajectories = tables.limit_by_domain(trajectories, failures.groupBy("trajectory_id").agg(F.min("pos").alias("pos")), args.limit)
+    tier, model, options = args.tier, args.model, {"api_key": os.environ.get("FAILSCOPE_API_KEY", "")} | ({"base_url": args.base_url} if args.base_url else {})
+    rows = bench.run_bench(trajectories, steps, events, truth, args.out, systems, (lambda: build_client(tier, model, **options)) if tier else None, tier or "signals", args.repeats)
+    print("\n" + tables.format_table(rows, [c for c in ("domain", "system", *bench.SHOWN, "repeats") if c in rows.columns]))
+    return 0
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
+    if args.command == "version":
+        print(f"failscope {__version__}")
+        return 0
     spark = spark or SparkSession.builder.appName("failscope").getOrCreate()
     if args.command == "report":
         rows = spark.read.json(args.results)
@@ -52,6 +91,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 1
     sized = steps.join(trajectories.select("traj_key", "tool_schemas"), "traj_key")
     events = signals.run_signals(sized).persist()
+    if args.command == "bench":
+        return run_benchmark(args, spark, trajectories, sized, events)
     verdicts = detect.verdicts(trajectories, events, args.threshold)
     if args.command == "detect":
         print(tables.format_table(tables.detection_table(trajectories, verdicts, events).drop("traj_key").orderBy(F.desc("confidence"), "trajectory_id")))

@@ -87,3 +87,44 @@ class ChatClient:
         spent = int(usage.get("prompt_tokens") or 0), int(usage.get("completion_tokens") or 0)
         text = ((body.get("choices") or [{}])[0].get("message") or {}).get("content") or ""
         return Response(split_reasoning(text)[0], self.model, *spent, time.perf_counter() - began, call_price(self.model, *spent))
+
+
+@dataclass
+class MessagesClient:
+    """A messages endpoint. Sampling parameters are not sent; a refusal is an answer without text."""
+
+    model: str
+    api_key: str = ""
+    base_url: str = "https://api.anthropic.com"
+    effort: str = "high"
+    timeout: float = 300.0
+    retries: int = 13
+    post: Callable = post_json
+
+    def complete(self, prompt: str, *, system: str | None = None, schema: dict | None = None, max_tokens: int = 8192) -> Response:
+        shape = {"format": {"type": "json_schema", "schema": schema}} if schema else {}
+        payload = {"model": self.model, "max_tokens": max_tokens, "messages": [{"role": "user", "content": prompt}], "output_config": {"effort": self.effort, **shape}}
+        if system:
+            payload["system"] = system
+        headers = {"x-api-key": self.api_key, "anthropic-version": "2023-06-01"}
+        began = time.perf_counter()
+        body = with_retries(lambda: self.post(f"{self.base_url.rstrip('/')}/v1/messages", payload, headers, self.timeout), self.retries)
+        parts = [] if body.get("stop_reason") == "refusal" else body.get("content") or []
+        usage, model = body.get("usage") or {}, body.get("model") or self.model
+        spent = int(usage.get("input_tokens") or 0), int(usage.get("output_tokens") or 0)
+        return Response("".join(p.get("text", "") for p in parts if p.get("type") == "text"), model, *spent, time.perf_counter() - began, call_price(model, *spent))
+
+
+#: The tiers, their clients and the models they use unless another is named.
+TIERS = {"frontier": (MessagesClient, "claude-opus-5"), "small": (ChatClient, "qwen3:4b")}
+
+
+def build_client(tier: str, model: str | None = None, **options):
+    """The client of a tier; ``options`` are its fields."""
+    if tier not in TIERS:
+        raise ValueError(f"unknown tier {tier!r}; known: {', '.join(sorted(TIERS))}")
+    kind, usual = TIERS[tier]
+    name = model or usual
+    if kind is ChatClient:
+        options = {"base_url": "http://localhost:11434/v1", "structured": "thinking" not in name.lower(), **options}
+    return kind(name, **options)

@@ -151,9 +151,9 @@ def repeated_call(steps: DataFrame, threshold: int = 2) -> tuple[DataFrame, Colu
 def oscillation(steps: DataFrame, cycles: int = 2) -> tuple[DataFrame, Column]:
     """Two different calls in alternation, A B A B, among the acting steps.
 
-    Candidates are taken from the left; one that begins within a taken pattern is left out. The fold
-    over a trace's candidates runs in its window, so no join is needed. A pattern has ``cycles``
-    cycles of two.
+    Candidates are taken from the left; one that begins within a taken pattern is left out. Which are
+    taken follows from the runs of candidates by arithmetic, in windows of single values, so that no
+    row holds its trace. A pattern has ``cycles`` cycles of two.
     """
     span = 2 * cycles
     marked = steps.withColumn("__key", F.array_join(call_key(), "\u0001"))
@@ -165,14 +165,21 @@ def oscillation(steps: DataFrame, cycles: int = 2) -> tuple[DataFrame, Column]:
     for k in range(2, span):
         candidate &= F.col(f"__ahead{k}") == (F.col("__key") if k % 2 == 0 else F.col("__ahead1"))
     marked = marked.withColumn("__candidate", F.coalesce(candidate, F.lit(False)))
-    places = F.sort_array(F.collect_list(F.when(F.col("__candidate"), F.col("__turn"))).over(Window.partitionBy(KEY)))
-    taken = F.aggregate(
-        places,
-        F.array().cast("array<int>"),
-        lambda acc, p: F.when((F.size(acc) == 0) | (p >= F.element_at(acc, -1) + span), F.concat(acc, F.array(p))).otherwise(acc),
-    )
-    marked = marked.withColumn("__taken", taken)
-    hit = F.col("__candidate") & F.array_contains("__taken", F.col("__turn"))
+    # runs of candidates that follow each other; a run's first free candidate is its first or, where the
+    # run before ends with a taken one and the two alternations share a turn, its second
+    own = Window.partitionBy(KEY, "__candidate").orderBy("step_index")
+    marked = marked.withColumn("__run", F.col("__turn") - F.row_number().over(own))
+    of_run = Window.partitionBy(KEY, "__candidate", "__run")
+    marked = marked.withColumn("__begin", F.min("__turn").over(of_run)).withColumn("__before", F.lag("__turn").over(own)).withColumn("__before_begin", F.lag("__begin").over(own))
+    size = (F.col("__before") - F.col("__before_begin")) % span
+    shares = (F.col("__turn") == F.col("__begin")) & (F.col("__begin") == F.col("__before") + span - 1)
+    marked = marked.withColumn("__flips", F.coalesce(shares & (size == 0), F.lit(False))).withColumn("__breaks", (F.col("__turn") == F.col("__begin")) & ~F.coalesce(shares & (size <= 1), F.lit(False)))
+    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = marked.withColumn("__chain", F.sum(F.col("__breaks").cast("int")).over(upto))
+    chained = Window.partitionBy(KEY, "__candidate", "__chain").orderBy("step_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    late = F.sum(F.col("__flips").cast("int")).over(chained) % 2
+    marked = marked.withColumn("__free", F.col("__turn") - F.col("__begin") - late)
+    hit = F.col("__candidate") & (F.col("__free") >= 0) & (F.col("__free") % span == 0)
     told = F.concat(F.lit("alternates between "), F.get(call_key(), F.lit(0)), F.lit(" and "), F.get("__other", F.lit(0)), F.lit(" across steps "), F.col("step_index").cast("string"), F.lit("-"), F.col("__last").cast("string"), F.lit(" without resolving"))
     return marked, _one(finding("oscillation", F.lit(0.65), told, hit))
 
@@ -289,11 +296,6 @@ def run_signals(steps: DataFrame, signals: Sequence[tuple[str, Signal]] | None =
 EVENT_ORDER = ("step_index", "kind", "signal_ord", "emit_ord")
 
 
-def rows_signal(events: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
-    """A signal of one's own as a function from steps to events; see :func:`with_own_signals`."""
-    return events
-
-
 def with_own_signals(steps: DataFrame, own: Sequence[Callable[[DataFrame], DataFrame]], signals: Sequence[tuple[str, Signal]] | None = None) -> DataFrame:
     """Events of the battery and of functions from steps to (traj_key, step_index, kind, severity, evidence)."""
     battery = default_signals() if signals is None else list(signals)

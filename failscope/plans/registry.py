@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from failscope.plans import trace_queries, trace_sql
+from failscope.plans import source_queries, trace_queries, trace_sql
 
-QUERIES: dict = dict(trace_queries.QUERIES)
-ORACLES: dict = dict(trace_sql.ORACLES)
+QUERIES: dict = {**trace_queries.QUERIES, **source_queries.QUERIES}
+ORACLES: dict = {**trace_sql.ORACLES, **source_queries.ORACLES}

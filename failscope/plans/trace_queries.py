@@ -275,13 +275,17 @@ def price(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- scoring
 
 
-def _ground_truth(steps: DataFrame) -> DataFrame:
+def _ground_truth_tables(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Failures are the steps whose k is a multiple of 7 and the step of the greatest value, the root."""
     names = F.create_map(F.lit("view"), F.lit("Invention of New Information"), F.lit("click"), F.lit("Invalid Invocation"), F.lit("purchase"), F.lit("Intent Not Supported"), F.lit("signup"), F.lit("Guardrails Triggered"), F.lit("error"), F.lit("System Failure"))
     root = steps.groupBy("trajectory_id").agg(F.max_by("event_id", F.struct("value", (-F.col("step_index")).alias("e"))).alias("root_failure_id"))
     failures = steps.join(root, "trajectory_id").where((F.col("k") % 7 == 0) | (F.col("event_id") == F.col("root_failure_id")))
     failures = failures.select("trajectory_id", F.col("step_index").alias("pos"), F.col("event_id").alias("failure_id"), F.col("step_index").alias("step_number"), F.element_at(names, F.col("event_type")).alias("category"))
-    return scoring.ground_truth(failures, root)
+    return failures, root
+
+
+def _ground_truth(steps: DataFrame) -> DataFrame:
+    return scoring.ground_truth(*_ground_truth_tables(steps))
 
 
 def _paired(spark: SparkSession, sf: str) -> DataFrame:

@@ -75,18 +75,34 @@ def calls_of(raw, argument_fields: tuple[str, ...], parse: Callable, default_nam
     return out
 
 
+#: Names of files that hold a JSON document a line; all others are read whole.
+LINE_FILES = r"\.(jsonl|ndjson)(\.[A-Za-z0-9]+)?$"
+
+
 def read_payloads(spark: SparkSession, path: str, parse: Callable[[str], Iterator[dict]]) -> DataFrame:
-    """Messages of whole files: each file is one JSON document or one a line."""
+    """Messages of files. Files named as ``LINE_FILES`` says are read by lines, so that they may have any
+    length and are split over tasks; other files are one document, or one a line, each read by one task.
+
+    Records are numbered in the order of their file: from the byte at which a task's part of it begins.
+    """
+    names = [f.split(" ")[0] for f in _FIELDS]
 
     def over(frames):
+        upto: dict[tuple[str, int], int] = {}
         for frame in frames:
             rows = []
-            for file, text in zip(frame["file"], frame["value"], strict=True):
-                rows += [{**UNSET, **r} for r in parse(text, file)]
-            yield pd.DataFrame(rows, columns=[f.split(" ")[0] for f in _FIELDS]) if rows else pd.DataFrame(columns=[f.split(" ")[0] for f in _FIELDS])
-
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    return files.mapInPandas(over, MESSAGE)
+            for file, start, text in zip(frame["file"], frame["start"], frame["value"], strict=True):
+                first = upto.get((file, start), start)
+                own = [{**UNSET, **r, "record_no": first + r["record_no"]} for r in parse(text, file)]
+                upto[file, start] = max((r["record_no"] + 1 for r in own), default=first)
+                rows += own
+            yield pd.DataFrame(rows, columns=names) if rows else pd.DataFrame(columns=names)
+
+    by_line = F.col("_metadata.file_name").rlike(LINE_FILES)
+    part = ("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    whole = spark.read.text(path, wholetext=True).where(~by_line).select(*part)
+    lines = spark.read.text(path).where(by_line).select(*part)
+    return whole.mapInPandas(over, MESSAGE).unionByName(lines.mapInPandas(over, MESSAGE))
 
 
 _FIELDS = ["trace", "sort_ns", "sort_text", "record_no", "message_no", "role", "agent", "content", "calls", "result", "tool_schemas", "fallback", "title", "kind"]

@@ -112,6 +112,20 @@ def test_otel(spark, tmp_path, shape):
     assert [(c.id, c.name, c.arguments, c.parse_error) for c in calls] == [("1", "find", '{"q": 1}', None), ("2", "odd", "{}", "arguments are not a JSON object"), (None, "none", "{}", None)]
 
 
+def test_line_files_are_split_and_keep_their_order(spark, tmp_path):
+    """Equal starts: records stay in the order of the file, whichever task reads them."""
+    spans = [span("t", 5, "chat", gen_ai__operation__name="chat", gen_ai__output__messages=json.dumps([{"role": "assistant", "content": f"line {i} {'x' * 200}"}])) for i in range(400)]
+    path = write(tmp_path / "a.jsonl", *spans, lines=True)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        trajectories, steps = load(spark, path, "otel")
+        got = steps_of(steps, "t")
+        assert spark.read.text(path).rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [x[3].split(" ")[1] for x in got] == [str(i) for i in range(400)] and trajectories.first().n_steps == 400
+
+
 def test_otel_empty_and_broken(spark, tmp_path):
     assert load(spark, write(tmp_path / "e.json", "", lines=True), "otel")[1].count() == 0
     with pytest.raises(Exception, match="could not parse"):

@@ -44,6 +44,46 @@ def test_chat_client():
     assert "response_format" not in sent[1][1]
 
 
+def test_messages_client_and_tiers():
+    sent = []
+
+    def post(url, payload, headers, timeout):
+        sent.append((url, payload, headers))
+        stop = "refusal" if "harm" in payload["messages"][0]["content"] else "end_turn"
+        return 200, {"model": payload["model"], "stop_reason": stop, "content": [{"type": "thinking", "thinking": "x"}, {"type": "text", "text": "{"}, {"type": "text", "text": "}"}], "usage": {"input_tokens": 7, "output_tokens": 3}}
+
+    client = clients.build_client("frontier", "big", api_key="k", post=post)
+    answer = client.complete("p", system="s", schema={"type": "object"}, max_tokens=9)
+    assert (answer.text, answer.model, answer.prompt_tokens, answer.completion_tokens) == ("{}", "big", 7, 3)
+    url, payload, headers = sent[0]
+    assert url.endswith("/v1/messages") and headers["x-api-key"] == "k" and payload["system"] == "s" and payload["max_tokens"] == 9 and payload["output_config"]["format"]["schema"] == {"type": "object"}
+    assert not {"temperature", "top_p"} & payload.keys() and client.complete("harm").text == ""
+    small = clients.build_client("small", "some-thinking-model", base_url="http://h")
+    assert isinstance(small, clients.ChatClient) and small.structured is False
+    with pytest.raises(ValueError, match="unknown tier"):
+        clients.build_client("huge")
+
+
+TRUTH = [{"trajectory_id": "bad", "failures": [{"failure_id": 1, "step_number": 2, "failure_category": "System Failure"}], "root_cause": {"failure_id": 1}}]
+
+
+def test_bench_resumes(spark, tmp_path, capsys):
+    traces, truth, out = tmp_path / "t.jsonl", tmp_path / "g.json", tmp_path / "out"
+    traces.write_text("\n".join(map(json.dumps, (BROKEN, FINE))))
+    truth.write_text(json.dumps(TRUTH))
+    run = ["bench", str(traces), str(truth), "--system", "signals-only", "--out", str(out)]
+    assert cli.main(run, spark) == 0
+    said = capsys.readouterr().out
+    assert "signals-only" in said and "recall" in said
+    part = next((out / "system=signals-only" / "repeat=0").glob("*.json"))
+    before = part.stat().st_mtime_ns
+    assert cli.main([*run, "--repeats", "2"], spark) == 0  # what is there is not run again
+    assert part.stat().st_mtime_ns == before and (out / "system=signals-only" / "repeat=1" / "_SUCCESS").exists()
+    capsys.readouterr()
+    assert cli.main([*run[:-2], "--detection-only"], spark) == 0 and "signals-only" not in capsys.readouterr().out
+    assert cli.main(["version"]) == 0 and capsys.readouterr().out.startswith("failscope ")
+
+
 def test_command_line(spark, tmp_path, capsys):
     path = tmp_path / "t.jsonl"
     path.write_text("\n".join(map(json.dumps, (BROKEN, FINE))))
@@ -79,8 +119,9 @@ def test_limit_and_detect_first(spark):
 def test_stream(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
-    for n, trace in enumerate((BROKEN, FINE)):
-        (source / f"{n}.json").write_text(json.dumps(trace))
+    for n, lines in enumerate(([json.dumps(BROKEN), json.dumps(FINE | {"trajectory_id": "bad"}), "{no json"], [json.dumps(FINE)])):
+        (source / f"{n}.json").write_text("\n".join(lines))
         stream_verdicts(spark, str(source), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert sorted((r.trajectory_id, r.failed, r.batch) for r in rows) == [("bad", True, 0), ("good", False, 1)]
+    assert sorted((r.trajectory_id, r.failed, r.batch) for r in rows) == [("bad", False, 0), ("bad", True, 0), ("good", False, 1)]
+    assert [r.value for r in spark.read.text(str(tmp_path / "out-unreadable")).collect()] == ["{no json"]
