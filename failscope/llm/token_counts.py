@@ -35,7 +35,7 @@ from failscope.llm.shingles import text_slices
 #: Bytes of the pieces that one call of the tokenizer gets.
 BATCH_BYTES = 256 << 10
 #: Bytes of text that are split into pieces at a time.
-SHARE_BYTES = 8 << 20
+SHARE_BYTES = 32 << 20
 TOKEN_LIMIT = 2048
 
 _LOADED: dict[str, Encoder] = {}
