@@ -209,7 +209,8 @@ def without_exact_duplicates(docs: DataFrame, **sizes: int) -> DataFrame:
     """
     of_id, of_sha = fresh(docs.columns, "of_id", "of_sha")
     gone = _answered(docs.select("doc_id", "text"), **sizes).where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    gone = materialise(gone.select(F.col("doc_id").alias(of_id), F.col("sha").alias(of_sha)).distinct(), "dedup-gone")
+    # repeated rows do no harm here; to remove them would keep Spark from splitting a hot text's rows in the join above
+    gone = materialise(gone.select(F.col("doc_id").alias(of_id), F.col("sha").alias(of_sha)), "dedup-gone")
     own = F.unhex(F.sha2(normalised(), 256))
     return docs.join(by_size(gone, 128), docs["doc_id"].eqNullSafe(F.col(of_id)) & (own == F.col(of_sha)), "left_anti")
 
