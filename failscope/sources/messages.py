@@ -10,9 +10,10 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from failscope.functions.json_tools import canonical
 from failscope.schema import CALL, RESULT
@@ -75,37 +76,52 @@ def calls_of(raw, argument_fields: tuple[str, ...], parse: Callable, default_nam
     return out
 
 
-#: Names of files that hold a JSON document a line; all others are read whole.
+#: Names of files that hold a JSON document a line; of others the first line tells if they have more bytes than this.
 LINE_FILES = r"\.(jsonl|ndjson)(\.[A-Za-z0-9]+)?$"
+WHOLE_BYTES = 1 << 20
+#: Messages that a task hands on at once.
+ROWS_AT_ONCE = 4096
+
+
+def _line_files(raw: DataFrame) -> Column:
+    """Whether a file of lines is read by lines: by its name, or because its first line that isn't blank is a
+    document, since a file that goes on behind a whole document is none."""
+    by_name = F.col("_metadata.file_name").rlike(LINE_FILES)
+    begun = raw.where(~by_name & (F.col("_metadata.file_size") > WHOLE_BYTES) & (F.col("_metadata.file_block_start") == 0) & F.col("value").rlike(r"\S"))
+    # the flag is the last bit of a line's place: a minimum of numbers sorts no lines
+    flagged = begun.select(F.col("_metadata.file_path").alias("file"), (F.monotonically_increasing_id() * 2 + F.try_parse_json("value").isNotNull().cast("long")).alias("at"))
+    found = [r.file for r in flagged.groupBy("file").agg(F.min("at").alias("at")).where("at % 2 = 1").select("file").collect()]
+    return by_name | F.col("_metadata.file_path").isin(found) if found else by_name
 
 
 def read_payloads(spark: SparkSession, path: str, parse: Callable[[str], Iterator[dict]]) -> DataFrame:
-    """Messages of files. Files named as ``LINE_FILES`` says are read by lines, so that they may have any
-    length and are split over tasks; other files are one document, or one a line, each read by one task.
+    """Messages of files. Files of lines (see :func:`_line_files`) are read by lines, so that they may have any
+    length and are split over tasks; other files are one document, or small ones of lines, each read by one task.
 
     Records are numbered in the order of their file: from the byte at which a task's part of it begins.
     """
-    names = [f.split(" ")[0] for f in _FIELDS]
+    schema = to_arrow_schema(spark.createDataFrame([], MESSAGE).schema)
 
-    def over(frames):
+    def over(batches):
         upto: dict[tuple[str, int], int] = {}
-        for frame in frames:
+        for batch in batches:
             rows = []
-            for file, start, text in zip(frame["file"], frame["start"], frame["value"], strict=True):
-                first = upto.get((file, start), start)
-                own = [{**UNSET, **r, "record_no": first + r["record_no"]} for r in parse(text, file)]
-                upto[file, start] = max((r["record_no"] + 1 for r in own), default=first)
-                rows += own
-            yield pd.DataFrame(rows, columns=names) if rows else pd.DataFrame(columns=names)
-
-    by_line = F.col("_metadata.file_name").rlike(LINE_FILES)
-    part = ("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+            for file, start, text in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "value")), strict=True):
+                first = last = upto.get((file, start), start)
+                for r in parse(text, file):
+                    number = first + r["record_no"]
+                    last = max(last, number + 1)
+                    rows.append({**UNSET, **r, "record_no": number})
+                    if len(rows) >= ROWS_AT_ONCE:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows = []
+                upto[file, start] = last
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    lines, part = spark.read.text(path), ("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    by_line = _line_files(lines)
     whole = spark.read.text(path, wholetext=True).where(~by_line).select(*part)
-    lines = spark.read.text(path).where(by_line).select(*part)
-    return whole.mapInPandas(over, MESSAGE).unionByName(lines.mapInPandas(over, MESSAGE))
-
-
-_FIELDS = ["trace", "sort_ns", "sort_text", "record_no", "message_no", "role", "agent", "content", "calls", "result", "tool_schemas", "fallback", "title", "kind"]
+    return whole.mapInArrow(over, MESSAGE).unionByName(lines.where(by_line).select(*part).mapInArrow(over, MESSAGE))
 
 
 def documents(text: str, file: str) -> list:

@@ -8,6 +8,7 @@ from failscope.operators.model import contiguity, require_contiguous, step_at
 from failscope.sources import langsmith
 from failscope.sources.benchmarks import read_ground_truth
 from failscope.sources.canonical import corrupt_lines, read_traces, write_traces
+from failscope.sources.messages import read_payloads
 from failscope.sources.registry import load
 
 TRACE = {
@@ -126,6 +127,36 @@ def test_line_files_are_split_and_keep_their_order(spark, tmp_path):
     assert [x[3].split(" ")[1] for x in got] == [str(i) for i in range(400)] and trajectories.first().n_steps == 400
 
 
+@pytest.mark.parametrize("adapter", ["otel", "langfuse", "langsmith"])
+def test_large_files_of_lines_are_split_whatever_their_name(spark, tmp_path, adapter):
+    """A file is read by lines if its first line is a document; one that is a single document stays whole."""
+
+    def record(i):
+        said = {"role": "assistant", "content": f"line {i} {'x' * 2000}"}
+        return {
+            "otel": span("t", 5, "chat", gen_ai__operation__name="chat", gen_ai__output__messages=json.dumps([said])),
+            "langfuse": {"traceId": "t", "type": "GENERATION", "startTime": "5", "output": said},
+            "langsmith": {"trace_id": "t", "run_type": "llm", "start_time": "5", "outputs": [said]},
+        }[adapter]
+
+    lines = [json.dumps(record(i)) for i in range(600)]
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "part-0.txt").write_text("\n \n" + "\n".join(lines))
+    (tmp_path / "pretty.json").write_text("[\n" + ",\n".join(lines) + "\n]")
+    (tmp_path / "one.json").write_text("\n[" + ", ".join(lines) + "]\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        wanted = [str(i) for i in range(600)]
+        for name, by_lines in (("lines", True), ("pretty.json", False), ("one.json", False)):
+            steps = load(spark, str(tmp_path / name), adapter)[1]
+            got = [x[3].split(" ")[1] for x in steps_of(steps)]
+            assert got == (wanted[::-1] if adapter == "langsmith" and not by_lines else wanted), name
+        raw = read_payloads(spark, str(tmp_path / "lines"), lambda text, file: iter([{"trace": str(len(text)), "record_no": 0, "message_no": 0, "role": "user"}]))
+        assert max(int(r.trace) for r in raw.collect()) < 5000  # no task was given the whole file
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_otel_empty_and_broken(spark, tmp_path):
     assert load(spark, write(tmp_path / "e.json", "", lines=True), "otel")[1].count() == 0
     with pytest.raises(Exception, match="could not parse"):
