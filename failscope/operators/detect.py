@@ -32,7 +32,9 @@ def confidences(events: DataFrame, weights: dict[str, float] | None = None) -> D
     weighted = events.select(KEY, "kind", (F.col("severity") * F.coalesce(F.try_element_at(table, F.col("kind")), F.lit(1.0))).alias("w"))
     # the greatest of a kind first: repeats of one kind don't corroborate each other
     held = weighted.groupBy(KEY, "kind").agg(F.greatest(F.max("w"), F.lit(0.0)).alias("w"))
-    return held.groupBy(KEY).agg((F.lit(1.0) - F.product(F.lit(1.0) - F.least(F.col("w"), F.lit(1.0)))).alias("confidence"))
+    # multiplied in the order of the kinds, so that the last bit, and with it a half, doesn't depend on how rows are dealt
+    factors = F.sort_array(F.collect_list(F.struct("kind", (F.lit(1.0) - F.least(F.col("w"), F.lit(1.0))).alias("rest"))))
+    return held.groupBy(KEY).agg((F.lit(1.0) - F.aggregate(factors, F.lit(1.0), lambda product, x: product * x["rest"])).alias("confidence"))
 
 
 def verdicts(traces: DataFrame, events: DataFrame, threshold: float = THRESHOLD, weights: dict[str, float] | None = None) -> DataFrame:

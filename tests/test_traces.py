@@ -411,3 +411,18 @@ def test_two_places_as_printed(spark):
     values = [0.0, 0.125, 0.375, 1.125, 1.035, 0.285, 0.295, 2.675, 0.005, 0.015, 0.994999, 0.995, 0.9999, 12.345, 7.0, *(i / 1000 for i in range(0, 3000, 5))]
     got = spark.createDataFrame([(v,) for v in values], "v double").select(two_places("v")).collect()
     assert [r[0] for r in got] == [f"{v:.2f}" for v in values]
+
+
+def test_confidence_does_not_depend_on_the_order_of_rows(spark):
+    """Products of a trace's kinds are taken in one order, to the last bit."""
+    kinds = {"a": 0.6, "b": 0.375, "c": 0.5, "d": 0.27, "e": 0.7, "f": 0.1}
+    wanted = 1.0
+    for kind in sorted(kinds):
+        wanted *= 1.0 - kinds[kind]
+    rng, rows = random.Random(5), []
+    for trace in range(200):
+        order = list(kinds)
+        rng.shuffle(order)
+        rows += [(trace, kind, kinds[kind]) for kind in order]
+    events = spark.createDataFrame(rows, "traj_key long, kind string, severity double")
+    assert {r.confidence for r in detect.confidences(events).collect()} == {1.0 - wanted}
