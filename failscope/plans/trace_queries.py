@@ -387,7 +387,7 @@ def _scripted() -> judge.ScriptedClient:
 
 def judge_fake_report(spark: SparkSession, sf: str) -> DataFrame:
     steps, events = _traces(spark, sf)
-    found = judge.diagnose(_task(steps), steps, events, judge.SYSTEMS["filtered-log"], _scripted, "scripted")
+    found = judge.diagnose(_task(steps), steps, events, judge.SYSTEMS["filtered-log"], _scripted, "scripted", _rounded_scores(spark, sf))
     return _tid(found, "critical_step", "category", "confidence", "steps_shown", "steps_total", "repairs", "degraded")
 
 

@@ -413,6 +413,13 @@ def test_two_places_as_printed(spark):
     assert [r[0] for r in got] == [f"{v:.2f}" for v in values]
 
 
+def test_equal_prompts_are_answered_alike(spark):
+    """Traces may have the same prompt; each begins with the first answer."""
+    rows = spark.createDataFrame([(i, "same prompt") for i in range(4)], "traj_key long, prompt string").coalesce(1)
+    asked = judge.ask(rows, lambda: judge.ScriptedClient(["let me see", "{}"])).collect()
+    assert sorted((r.traj_key, r.repairs, r.answer) for r in asked) == [(i, 1, "{}") for i in range(4)]
+
+
 def test_confidence_does_not_depend_on_the_order_of_rows(spark):
     """Products of a trace's kinds are taken in one order, to the last bit."""
     kinds = {"a": 0.6, "b": 0.375, "c": 0.5, "d": 0.27, "e": 0.7, "f": 0.1}
