@@ -393,7 +393,7 @@ def judge_fake_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def judge_signals_only(spark: SparkSession, sf: str) -> DataFrame:
     steps, events = _traces(spark, sf)
-    return _tid(judge.diagnose(_task(steps), steps, events, judge.SYSTEMS["signals-only"]), "critical_step", "category_case", "steps_shown", "steps_total")
+    return _tid(judge.diagnose(_task(steps), steps, events, judge.SYSTEMS["signals-only"], scores=_rounded_scores(spark, sf)), "critical_step", "category_case", "steps_shown", "steps_total")
 
 
 QUERIES = {

@@ -433,3 +433,12 @@ def test_confidence_does_not_depend_on_the_order_of_rows(spark):
         rows += [(trace, kind, kinds[kind]) for kind in order]
     events = spark.createDataFrame(rows, "traj_key long, kind string, severity double")
     assert {r.confidence for r in detect.confidences(events).collect()} == {1.0 - wanted}
+
+
+def test_reports_use_the_scores_they_are_given(spark):
+    steps = demo(spark)
+    events = signals.run_signals(steps)
+    scores = localize.score_steps(steps, events).withColumn("score", F.when(F.col("step_index") == 2, 9.0).otherwise(F.lit(0.0)))
+    for system in ("signals-only", "filtered-log"):
+        reports = judge.diagnose(tasks(spark, steps), steps, events, judge.SYSTEMS[system], lambda: judge.ScriptedClient(["no"]), scores=scores)
+        assert {r.critical_step for r in reports.collect()} == {2}
