@@ -142,30 +142,39 @@ def documents(text: str, file: str) -> list:
     return out
 
 
-def assemble(messages: DataFrame, domain: str) -> tuple[DataFrame, DataFrame]:
+def assemble(messages: DataFrame, domain: str, roles: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """(trajectories, steps) of messages.
 
     Records are ordered by start, then as they came. Of the system messages of a trace the first
     stays and is the policy; the first user message with a text is the instruction, else the
     record's fallback. Rows of kind ``context`` only bring tool schemas, fallback or title.
+    ``roles``: traces with a message of any other role are left out.
+
+    The steps read the messages once: files are parsed by Python.
     """
     keyed = messages.withColumn("traj_key", F.col("trace"))
     order = [F.col("sort_ns").asc_nulls_first(), F.col("sort_text").asc_nulls_first(), F.col("record_no"), F.col("message_no")]
     place = F.struct(F.coalesce("sort_ns", F.lit(0).cast("decimal(38, 0)")), F.coalesce("sort_text", F.lit("")), "record_no", "message_no")
-    spoken = keyed.where("kind = 'message'")
+    spoken, system = F.col("kind") == "message", F.col("role") == "system"
+    strange = F.lit(False) if roles is None else spoken & ~F.col("role").isin(*roles)
+    trace = Window.partitionBy("traj_key").orderBy(*order)
+    known = keyed.where(spoken)
+    if roles is not None:
+        known = known.withColumn("__strange", F.bool_or(strange).over(trace.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("not __strange")
     turn = Window.partitionBy("traj_key", "role").orderBy(*order)
-    kept = spoken.withColumn("__turn", F.row_number().over(turn)).where("role <> 'system' or __turn = 1")
+    kept = known.withColumn("__turn", F.row_number().over(turn)).where("role <> 'system' or __turn = 1")
     first = lambda value, when: F.min_by(F.when(when, value), F.when(when, place))
     context = keyed.groupBy("traj_key").agg(
-        first(F.col("content"), (F.col("kind") == "message") & (F.col("role") == "user") & (F.col("content") != "")).alias("said"),
-        first(F.col("content"), (F.col("kind") == "message") & (F.col("role") == "system")).alias("policy"),
+        first(F.col("content"), spoken & (F.col("role") == "user") & (F.col("content") != "")).alias("said"),
+        first(F.col("content"), spoken & system).alias("policy"),
         first(F.col("tool_schemas"), F.size("tool_schemas") > 0).alias("tool_schemas"), F.max("fallback").alias("fallback"), F.max("title").alias("title"),
+        F.bool_or(strange).alias("strange"),
     )
-    listed = kept.where("role <> 'hidden'").withColumn("step_index", F.row_number().over(Window.partitionBy("traj_key").orderBy(*order)))
+    listed = kept.where("role <> 'hidden'").withColumn("step_index", F.row_number().over(trace))
     steps = listed.select("traj_key", F.col("trace").alias("trajectory_id"), "step_index", "role", "agent", "content", "calls", "result")
     sizes = steps.groupBy("traj_key").agg(F.count(F.lit(1)).cast("int").alias("n_steps"))
     empty = F.array().cast("array<string>")
-    trajectories = context.join(sizes, "traj_key", "left").select(
+    trajectories = context.where("not strange").join(sizes, "traj_key", "left").select(
         "traj_key", F.col("traj_key").alias("trajectory_id"), F.lit(domain).alias("domain"), F.coalesce("said", "fallback", F.lit("")).alias("instruction"), F.lit(None).cast("string").alias("user_id"), "policy",
         F.coalesce("tool_schemas", empty).alias("tool_schemas"), empty.alias("expected_actions"), F.lit(None).cast("double").alias("reward"), F.to_json(F.struct(F.col("title").alias("name"))).alias("metadata"), F.coalesce("n_steps", F.lit(0)).alias("n_steps"),
     )

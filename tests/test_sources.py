@@ -157,6 +157,27 @@ def test_large_files_of_lines_are_split_whatever_their_name(spark, tmp_path, ada
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def plan_of(table):
+    return table._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("adapter", ["langsmith"])
+def test_exports_are_parsed_and_exchanged_once(spark, tmp_path, adapter):
+    """No file is parsed twice for the steps (there is a way to read lines and one for whole files), no message exchanged twice."""
+    path = write(tmp_path / "a.jsonl", {"trace_id": "t", "id": "t"}, lines=True)
+    plan = plan_of(load(spark, path, adapter)[1])
+    assert plan.count("MapInArrow") == 2 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_langsmith_leaves_out_whole_traces_of_unknown_roles(spark, tmp_path):
+    """Whichever of a trace's messages has the role; its other runs and those without messages go too."""
+    run = lambda trace, at, *roles: {"trace_id": trace, "run_type": "llm", "start_time": str(at), "inputs": [{"role": r, "content": f"{r} {at}"} for r in roles]}
+    runs = [run("a", 2, "system", "user"), run("a", 1, "system", "human"), run("b", 1, "user"), run("b", 2, "wizard", "user"), run("b", 3), run("c", 1), run("d", 1, "wizard"), run("a", 3, "ai", "system")]
+    trajectories, steps = load(spark, write(tmp_path / "a.jsonl", *runs, lines=True), "langsmith")
+    assert {(r.trajectory_id, r.policy, r.instruction, r.n_steps) for r in trajectories.collect()} == {("a", "system 1", "human 1", 4), ("c", None, "", 0)}
+    assert [x[:2] + x[3:] for x in steps_of(steps)] == [(1, "system", "system 1"), (2, "user", "human 1"), (3, "user", "user 2"), (4, "assistant", "ai 3")]
+
+
 def test_otel_empty_and_broken(spark, tmp_path):
     assert load(spark, write(tmp_path / "e.json", "", lines=True), "otel")[1].count() == 0
     with pytest.raises(Exception, match="could not parse"):
