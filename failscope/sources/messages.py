@@ -94,6 +94,11 @@ def _line_files(raw: DataFrame) -> Column:
     return by_name | F.col("_metadata.file_path").isin(found) if found else by_name
 
 
+def _only_names_trace(row: dict) -> bool:
+    """Whether a row says no more than that its trace exists."""
+    return row.get("kind") == "context" and all(row.get(f) is None for f in ("tool_schemas", "fallback", "title"))
+
+
 def read_payloads(spark: SparkSession, path: str, parse: Callable[[str], Iterator[dict]]) -> DataFrame:
     """Messages of files. Files of lines (see :func:`_line_files`) are read by lines, so that they may have any
     length and are split over tasks; other files are one document, or small ones of lines, each read by one task.
@@ -105,16 +110,19 @@ def read_payloads(spark: SparkSession, path: str, parse: Callable[[str], Iterato
     def over(batches):
         upto: dict[tuple[str, int], int] = {}
         for batch in batches:
-            rows = []
+            rows, told = [], set()
             for file, start, text in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "value")), strict=True):
                 first = last = upto.get((file, start), start)
                 for r in parse(text, file):
                     number = first + r["record_no"]
                     last = max(last, number + 1)
+                    if r["trace"] in told and _only_names_trace(r):
+                        continue
+                    told.add(r["trace"])
                     rows.append({**UNSET, **r, "record_no": number})
                     if len(rows) >= ROWS_AT_ONCE:
                         yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
+                        rows, told = [], set()
                 upto[file, start] = last
             yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -150,7 +158,7 @@ def assemble(messages: DataFrame, domain: str, roles: tuple[str, ...] | None = N
     record's fallback. Rows of kind ``context`` only bring tool schemas, fallback or title.
     ``roles``: traces with a message of any other role are left out.
 
-    The steps read the messages once: files are parsed by Python.
+    The steps read the messages once and exchange them once, by trace: files are parsed by Python.
     """
     keyed = messages.withColumn("traj_key", F.col("trace"))
     order = [F.col("sort_ns").asc_nulls_first(), F.col("sort_text").asc_nulls_first(), F.col("record_no"), F.col("message_no")]
@@ -161,8 +169,8 @@ def assemble(messages: DataFrame, domain: str, roles: tuple[str, ...] | None = N
     known = keyed.where(spoken)
     if roles is not None:
         known = known.withColumn("__strange", F.bool_or(strange).over(trace.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where("not __strange")
-    turn = Window.partitionBy("traj_key", "role").orderBy(*order)
-    kept = known.withColumn("__turn", F.row_number().over(turn)).where("role <> 'system' or __turn = 1")
+    upto = trace.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = known.withColumn("__systems", F.count(F.when(system, 1)).over(upto)).where(~system | (F.col("__systems") == 1))
     first = lambda value, when: F.min_by(F.when(when, value), F.when(when, place))
     context = keyed.groupBy("traj_key").agg(
         first(F.col("content"), spoken & (F.col("role") == "user") & (F.col("content") != "")).alias("said"),

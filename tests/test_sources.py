@@ -5,7 +5,7 @@ import json
 import pytest
 
 from failscope.operators.model import contiguity, require_contiguous, step_at
-from failscope.sources import langsmith
+from failscope.sources import langsmith, otel
 from failscope.sources.benchmarks import read_ground_truth
 from failscope.sources.canonical import corrupt_lines, read_traces, write_traces
 from failscope.sources.messages import read_payloads
@@ -161,7 +161,7 @@ def plan_of(table):
     return table._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("adapter", ["langsmith"])
+@pytest.mark.parametrize("adapter", ["langsmith", "otel", "langfuse"])
 def test_exports_are_parsed_and_exchanged_once(spark, tmp_path, adapter):
     """No file is parsed twice for the steps (there is a way to read lines and one for whole files), no message exchanged twice."""
     path = write(tmp_path / "a.jsonl", {"trace_id": "t", "id": "t"}, lines=True)
@@ -178,6 +178,19 @@ def test_langsmith_leaves_out_whole_traces_of_unknown_roles(spark, tmp_path):
     assert [x[:2] + x[3:] for x in steps_of(steps)] == [(1, "system", "system 1"), (2, "user", "human 1"), (3, "user", "user 2"), (4, "assistant", "ai 3")]
 
 
+def test_otel_rows_that_only_name_a_trace_come_once(spark, tmp_path):
+    """Spans without tools, and those without messages: a trace stays known, by a row for each batch at most."""
+    spans = [span(f"t{i // 300}", i, "chat", gen_ai__operation__name="chat", gen_ai__output__messages=json.dumps([{"role": "assistant", "content": f"line {i}"}])) for i in range(600)]
+    spans += [span("silent", 1, "other"), span("silent", 2, "other"), span("t0", 9, "other", llm__tools=json.dumps([{"name": "find"}]))]
+    path = write(tmp_path / "a.jsonl", *spans, lines=True)
+    rows = read_payloads(spark, path, otel.rows_of).where("kind = 'context'").collect()
+    assert sorted((r.trace, r.tool_schemas) for r in rows if r.tool_schemas is None) == [("silent", None), ("t0", None), ("t1", None)]
+    assert [(r.trace, r.tool_schemas, r.record_no) for r in rows if r.tool_schemas] == [("t0", ['{"name": "find"}'], max(r.record_no for r in rows))]
+    trajectories, steps = load(spark, path, "otel")
+    assert {(r.trajectory_id, r.n_steps, tuple(r.tool_schemas)) for r in trajectories.collect()} == {("t0", 300, ('{"name": "find"}',)), ("t1", 300, ()), ("silent", 0, ())}
+    assert [x[3] for x in steps_of(steps)] == [f"line {i}" for i in range(600)]
+
+
 def test_otel_empty_and_broken(spark, tmp_path):
     assert load(spark, write(tmp_path / "e.json", "", lines=True), "otel")[1].count() == 0
     with pytest.raises(Exception, match="could not parse"):
