@@ -158,7 +158,7 @@ def assemble(messages: DataFrame, domain: str, roles: tuple[str, ...] | None = N
     record's fallback. Rows of kind ``context`` only bring tool schemas, fallback or title.
     ``roles``: traces with a message of any other role are left out.
 
-    The steps read the messages once and exchange them once, by trace: files are parsed by Python.
+    Either table reads the messages once and exchanges them once, by trace: files are parsed by Python.
     """
     keyed = messages.withColumn("traj_key", F.col("trace"))
     order = [F.col("sort_ns").asc_nulls_first(), F.col("sort_text").asc_nulls_first(), F.col("record_no"), F.col("message_no")]
@@ -176,14 +176,13 @@ def assemble(messages: DataFrame, domain: str, roles: tuple[str, ...] | None = N
         first(F.col("content"), spoken & (F.col("role") == "user") & (F.col("content") != "")).alias("said"),
         first(F.col("content"), spoken & system).alias("policy"),
         first(F.col("tool_schemas"), F.size("tool_schemas") > 0).alias("tool_schemas"), F.max("fallback").alias("fallback"), F.max("title").alias("title"),
-        F.bool_or(strange).alias("strange"),
+        (F.count(F.when(spoken & ~F.col("role").isin("system", "hidden"), 1)) + F.least(F.count(F.when(spoken & system, 1)), F.lit(1))).cast("int").alias("n_steps"), F.bool_or(strange).alias("strange"),
     )
     listed = kept.where("role <> 'hidden'").withColumn("step_index", F.row_number().over(trace))
     steps = listed.select("traj_key", F.col("trace").alias("trajectory_id"), "step_index", "role", "agent", "content", "calls", "result")
-    sizes = steps.groupBy("traj_key").agg(F.count(F.lit(1)).cast("int").alias("n_steps"))
     empty = F.array().cast("array<string>")
-    trajectories = context.where("not strange").join(sizes, "traj_key", "left").select(
+    trajectories = context.where("not strange").select(
         "traj_key", F.col("traj_key").alias("trajectory_id"), F.lit(domain).alias("domain"), F.coalesce("said", "fallback", F.lit("")).alias("instruction"), F.lit(None).cast("string").alias("user_id"), "policy",
-        F.coalesce("tool_schemas", empty).alias("tool_schemas"), empty.alias("expected_actions"), F.lit(None).cast("double").alias("reward"), F.to_json(F.struct(F.col("title").alias("name"))).alias("metadata"), F.coalesce("n_steps", F.lit(0)).alias("n_steps"),
+        F.coalesce("tool_schemas", empty).alias("tool_schemas"), empty.alias("expected_actions"), F.lit(None).cast("double").alias("reward"), F.to_json(F.struct(F.col("title").alias("name"))).alias("metadata"), "n_steps",
     )
     return trajectories, steps

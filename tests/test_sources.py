@@ -163,10 +163,11 @@ def plan_of(table):
 
 @pytest.mark.parametrize("adapter", ["langsmith", "otel", "langfuse"])
 def test_exports_are_parsed_and_exchanged_once(spark, tmp_path, adapter):
-    """No file is parsed twice for the steps (there is a way to read lines and one for whole files), no message exchanged twice."""
+    """Neither table parses files twice (there is a way to read lines and one for whole files) or meets its trace twice."""
     path = write(tmp_path / "a.jsonl", {"trace_id": "t", "id": "t"}, lines=True)
-    plan = plan_of(load(spark, path, adapter)[1])
-    assert plan.count("MapInArrow") == 2 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    for table in load(spark, path, adapter):
+        plan = plan_of(table)
+        assert plan.count("MapInArrow") == 2 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
 
 
 def test_langsmith_leaves_out_whole_traces_of_unknown_roles(spark, tmp_path):
@@ -191,6 +192,17 @@ def test_otel_rows_that_only_name_a_trace_come_once(spark, tmp_path):
     assert [x[3] for x in steps_of(steps)] == [f"line {i}" for i in range(600)]
 
 
+def test_numbers_of_steps_need_no_steps(spark, tmp_path):
+    """The traces of envelopes are counted without numbering their steps; of several system messages one counts."""
+    said = lambda *roles: json.dumps([{"role": r, "content": r} for r in roles])
+    traces = {"a": [("system", "user"), ("system", "assistant"), ("critic", "system")], "b": [("user", "user")], "c": [("system",)], "d": [()]}
+    envelopes = [{"resourceSpans": [{"scopeSpans": [{"spans": [span(t, n, "chat", gen_ai__operation__name="chat", gen_ai__output__messages=said(*roles)) for n, roles in enumerate(spans)]}]}]} for t, spans in traces.items()]
+    trajectories, steps = load(spark, write(tmp_path / "a.jsonl", *envelopes, lines=True), "otel")
+    counted = {r.trajectory_id: r["count"] for r in steps.groupBy("trajectory_id").count().collect()}
+    assert {r.trajectory_id: r.n_steps for r in trajectories.collect()} == counted | {"d": 0} == {"a": 4, "b": 2, "c": 1, "d": 0}
+    assert "Window" not in plan_of(trajectories)
+
+
 def test_otel_empty_and_broken(spark, tmp_path):
     assert load(spark, write(tmp_path / "e.json", "", lines=True), "otel")[1].count() == 0
     with pytest.raises(Exception, match="could not parse"):
